@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,26 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one that ``spark.checkpoint.dir`` names; a folder of our own is set only
     in local mode with none named, since executors on other machines would not see it.
     """
-    sc = df.sparkSession.sparkContext
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder, and read from there."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def small(df: DataFrame, most_rows: int) -> bool:
@@ -58,3 +73,9 @@ def text_key(text: Column) -> Column:
 def quoted(name: str) -> str:
     """A column's name as ``col`` reads it, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished phases, which it does as their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

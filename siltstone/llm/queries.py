@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, line_dedup, mixing, quality, url_rules
+from . import decontam, jaccard, langid, licences, line_dedup, mixing, phrases, pii, quality, url_rules
 from .common import table
 
 
@@ -13,6 +13,22 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, url_rules.RULES))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -22,6 +38,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group_near(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = phrases.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licenses(table(spark, sf_dir, "documents"), licences.known_frame(spark))
 
@@ -86,5 +111,72 @@ own as (
 select doc_id, n_copyright, own.digest as digest, license_id from own left join digests on own.digest = digests.digest
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op5_mixing, op6_line_dedup, op8_license_scans, op10_quality_rules)}
-SQL = {"op1_url_filters": OP1_SQL, "op6_line_dedup": OP6_SQL, "op8_license_scans": OP8_SQL}
+OP3_SQL = """
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+item_at as (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as k from item_words where len(w) > 0),
+item_windows as (select distinct item_id, least(len(w), 10) as size, array_to_string(w[k:k + 9], ' ') as win from item_at),
+sizes as (select distinct size from item_windows),
+doc_at as (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as k from words, sizes where len(w) >= size),
+doc_windows as (select doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') as win from doc_at),
+hits as (select doc_id, d.size as size, k, item_id from doc_windows d join item_windows i on d.win = i.win and d.size = i.size),
+hit_words as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(k, k + size)) as pos from hits) group by 1),
+hit_items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by 1)
+select words.doc_id as doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hit_words on words.doc_id = hit_words.doc_id left join hit_items on words.doc_id = hit_items.doc_id
+"""
+
+OP7_SQL = """
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+at_all as (select doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) as k from words where len(w) > 0),
+grams as (select distinct doc_id, array_to_string(w[k:k + 4], ' ') as g from at_all),
+sizes as (select doc_id, count(*) as n from grams group by 1),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as k from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+linked as (select a, b from met join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+ways as (select a, b from linked union all select b, a from linked),
+reach(doc_id, root) as (select doc_id, doc_id from words union select ways.b, reach.root from reach join ways on ways.a = reach.doc_id)
+select words.doc_id as doc_id, coalesce(n, 0) as n_shingles, c as component_id
+from words left join sizes on words.doc_id = sizes.doc_id join (select doc_id, min(root) as c from reach group by 1) r on words.doc_id = r.doc_id
+"""
+
+OP9_SQL = """
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+at_all as (select doc_id, w, unnest(range(1, len(w) - 18)) as k from words where len(w) >= 20),
+wins as (select doc_id, k, array_to_string(w[k:k + 19], ' ') as win from at_all),
+ranked as (select doc_id, k, row_number() over (partition by win order by doc_id, k) as place from wins),
+gone as (select distinct doc_id, unnest(range(k, k + 20)) as k from ranked where place > 1),
+numbered as (select doc_id, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from words where len(w) > 0),
+kept as (
+  select n.doc_id, count(g.k) as n_removed, coalesce(string_agg(n.word, ' ' order by n.k) filter (where g.k is null), '') as body
+  from numbered n left join gone g on n.doc_id = g.doc_id and n.k = g.k group by n.doc_id)
+select words.doc_id as doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from words left join kept on words.doc_id = kept.doc_id
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_pii,
+        op3_decontamination,
+        op4_language_id,
+        op5_mixing,
+        op6_line_dedup,
+        op7_ngram_jaccard,
+        op8_license_scans,
+        op9_substring_dedup,
+        op10_quality_rules,
+    )
+}
+SQL = {
+    "op1_url_filters": OP1_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op7_ngram_jaccard": OP7_SQL,
+    "op8_license_scans": OP8_SQL,
+    "op9_substring_dedup": OP9_SQL,
+}
