@@ -28,7 +28,8 @@ from .common import cut, quoted
 WINDOW = 10
 #: Characters of benchmark that one automaton takes; about 100 bytes of memory each.
 MAX_CHARS = 2_000_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word before its letters are lowered.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Bytes as they count: A-Z lower, other ASCII but letters and digits a space; of longer characters nothing changes.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 FOUND = "struct<n_words:bigint,words:array<bigint>,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
