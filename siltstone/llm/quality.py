@@ -49,6 +49,8 @@ def measures(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with a column for each of ``MEASURES``; null text is empty.
 
     Columns, not a struct: the optimizer would copy a struct's expressions to each of its readers.
+    ``_barrier`` depends on the row's place, so that no filter that reads it moves below the measures, where
+    each of its readings of a measure would become the measure's whole expression.
     """
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(f"[^{BLANK}]"))
@@ -84,7 +86,7 @@ def measures(docs: DataFrame, text: Column) -> DataFrame:
         "n_letters": F.length(F.regexp_replace("_text", r"\P{L}+", "")),
         "n_stutter": stutter,
     }
-    return step3.select(*[F.col(quoted(c)) for c in docs.columns], *[made[x].cast("long").alias(f"_{x}") for x in MEASURES])
+    return step3.select(*[F.col(quoted(c)) for c in docs.columns], *[made[x].cast("long").alias(f"_{x}") for x in MEASURES], F.monotonically_increasing_id().alias("_barrier"))
 
 
 def _paired(column: str, ahead: int):
@@ -172,6 +174,6 @@ def judge(docs: DataFrame, *, text_col: str = "text", keep: float = KEEP) -> Dat
     return (
         voted.withColumn("base_failed", base_failed())
         .withColumn("p_good", posterior(model, [f"_v_{x}" for x in names]))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep))
-        .drop(*[f"_v_{x}" for x in names])
+        .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep) & (F.col("_barrier") >= 0))
+        .drop("_barrier", *[f"_v_{x}" for x in names])
     )
