@@ -1,6 +1,6 @@
 """All queries of the library; importing a module registers its queries."""
 
-from . import page_queries, scalar_queries  # noqa: F401
+from . import dataset_queries, page_queries, scalar_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
