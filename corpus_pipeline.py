@@ -39,10 +39,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each as one row that says how often: ``copies``; ``taken`` counts words."""
-    mixed = mixing.mix(docs.select("doc_id", "text", "source"))
-    times = mixed.where("copies > 0").select("doc_id", F.col("copies"), F.col("size"), F.col("taken")).dropDuplicates(["doc_id", "copies", "size"])
-    sized = docs.withColumn("_size", common.n_words_of(F.col("text")))
-    return sized.join(times.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size"))).select(*docs.columns, "copies", "taken")
+    mixed = mixing.mix(docs.select("doc_id", "text", "source")).where("copies > 0")
+    times = mixed.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"), F.col("taken").alias("_mix_taken")).distinct()
+    sized = docs.withColumn("_own_size", common.n_words_of(F.col("text")))
+    both = sized.join(times, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_own_size") == F.col("_mix_size")))
+    kept = [c for c in docs.columns if c not in ("copies", "taken")]
+    return both.select(*kept, F.col("_mix_copies").alias("copies"), F.col("_mix_taken").alias("taken"))
 
 
 STAGES = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,6 +77,27 @@ def quoted(name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished phases, which it does as their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished phases, which it does as their plans are collected.
+
+    Its cleaner runs beside the jobs; the pauses let it begin before the next phase writes.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def dealt_anew(c: Column) -> Column:
+    """A join key that is one to one with a column that a side was grouped by.
+
+    Joined by the column itself, the grouped side would keep its partitions, and adaptive execution
+    splits a skewed partition of the other side only where both come straight from an exchange.
+    """
+    return c.bitwiseXOR(F.lit(1))
+
+
+def with_fields(df: DataFrame, made: Column, names: dict[str, str]) -> DataFrame:
+    """``df`` with fields of a struct that is computed once, each under its name; columns of these names are replaced."""
+    spare = next(f"_made{k}" for k in range(len(df.columns) + 1) if f"_made{k}" not in df.columns)
+    kept = [F.col(quoted(c)) for c in df.columns if c not in names]
+    return df.withColumn(spare, made).select(*kept, *[F.col(f"{spare}.{field}").alias(name) for name, field in names.items()])

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted, with_fields
+
 DIMS = 1 << 15
 #: Labelled rows that training takes, about, and the share that calibration keeps: one in so many.
 TRAIN_ROWS, KEPT_OUT = 2000, 5
@@ -160,7 +162,7 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
     """``docs`` with ``lang_pred`` and ``score``.
 
     A text that is null or has no letter is ``und`` with score 0, as all are under a model that saw no
-    labelled rows.  No other column is read.
+    labelled rows.  No other column is read; columns named like the new ones are replaced.
     """
 
     @F.arrow_udf("struct<lang:string,score:double>")
@@ -169,4 +171,4 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
             got = [predict(t.as_py(), model) for t in batch]
             yield pa.StructArray.from_arrays([pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["lang", "score"])
 
-    return docs.withColumn("_guess", guess(F.col(text_col))).select("*", F.col("_guess.lang").alias("lang_pred"), F.col("_guess.score").alias("score")).drop("_guess")
+    return with_fields(docs, guess(F.col(quoted(text_col))), {"lang_pred": "lang", "score": "score"})

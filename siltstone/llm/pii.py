@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import quoted, with_fields
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
 
@@ -235,5 +237,4 @@ def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     Spans are ``kind:start:end`` in code points, end exclusive.  A null text is empty.  No other column
     is read; columns named like the new ones are replaced.
     """
-    names = [name for name, _ in _FIELDS]
-    return docs.withColumn("_pii", _found(F.col(text_col))).withColumns({x: F.col(f"_pii.{x}") for x in names}).drop("_pii")
+    return with_fields(docs, _found(F.col(quoted(text_col))), {name: name for name, _ in _FIELDS})

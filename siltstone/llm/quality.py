@@ -164,16 +164,18 @@ def judge(docs: DataFrame, *, text_col: str = "text", keep: float = KEEP) -> Dat
 
     Too short or too repetitive texts fail the base rules and go whatever the posterior.  A null or
     empty text has no words and fails.  Repeated rows vote each for themselves.  An empty table gives no
-    rows.  Columns of ``docs`` stay; they may not be named as the added ones.
+    rows.  Columns of ``docs`` stay, but for those named as the added ones, which are replaced.
     """
     names = [r[0] for r in RULES]
-    read = measures(docs.select(F.col(text_col).alias("_t")), F.col("_t"))
+    read = measures(docs.select(F.col(quoted(text_col)).alias("_t")), F.col("_t"))
     counted = read.select(*votes()).groupBy(*names).agg(F.count("*").alias("n")).collect()  # 3 ** len(RULES) rows at most
     model = fit([(tuple(r[x] for x in names), r["n"]) for r in counted], len(names))
-    voted = measures(docs, F.col(text_col)).select("*", *[v.alias(f"_v_{x}") for v, x in zip(votes(), names, strict=True)])
-    return (
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), F.col(quoted(text_col)).alias("_t"))
+    voted = measures(whole, F.col("_t")).select("*", *[v.alias(f"_v_{x}") for v, x in zip(votes(), names, strict=True)])
+    judged = (
         voted.withColumn("base_failed", base_failed())
         .withColumn("p_good", posterior(model, [f"_v_{x}" for x in names]))
         .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep) & (F.col("_barrier") >= 0))
-        .drop("_barrier", *[f"_v_{x}" for x in names])
     )
+    new = [*[f"_{x}" for x in MEASURES], "base_failed", "p_good", "kept"]
+    return judged.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in docs.columns if c not in new], *new)
