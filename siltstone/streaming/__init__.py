@@ -1 +1,42 @@
+"""A dataset kept up to date from a folder that pages arrive in."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans.dataset import upserted
+from ..sources.urls import PAGES
+
+
+def arriving_pages(spark: SparkSession, folder: str, *, files_at_once: int = 64) -> DataFrame:
+    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+
+
+def keep_dataset(rows: DataFrame, folder: str, keys: list[str], *, checkpoint: str, now: Callable[[int], str]) -> StreamingQuery:
+    """Insert or update each batch of ``rows`` (with ``seq``) in a dataset, a folder of numbered versions.
+
+    Version N holds the dataset after batch N and is written before N + 1 reads it, so a batch that
+    runs again writes the same version again.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stamp = now(number)
+        if number == 0:
+            first = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
+            done = first.withColumns({"extraction_date": F.lit(stamp), "last_updated": F.lit(stamp)})
+        else:
+            done = upserted(spark.read.parquet(f"{folder}/v{number - 1}"), batch, keys, now=stamp).drop("operation")
+        done.write.mode("overwrite").parquet(f"{folder}/v{number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hourly(events: DataFrame, *, late: str = "1 hour") -> DataFrame:
+    """Counts and values of events (ts, event_type, value) by hour; those later than ``late`` are left out."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
