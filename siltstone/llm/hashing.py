@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from xxhash import xxh3_64_intdigest
 
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -30,3 +33,10 @@ def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
+
+
+def pieces(batches: Iterator[pa.Array], rows: int = 512) -> Iterator[pa.Array]:
+    """Batches in smaller ones, so that what is made of one is sent before the next is made."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, quoted, release
-from .hashing import sequence_hashes, word_hashes
+from .common import cut, dealt_anew, quoted, release
+from .hashing import pieces, sequence_hashes, word_hashes
 from .jaccard import internal_id
 
 WINDOW, GRAM = 20, 8
@@ -52,7 +52,7 @@ def _array_of(**fields) -> T.ArrayType:
 
 @F.arrow_udf(_array_of(a=T.LongType(), s=T.IntegerType(), m=T.IntegerType(), again=T.IntegerType()))
 def _anchors(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
+    for batch in pieces(texts):
         parts = []
         for t in batch:
             a, s, m = anchors(word_hashes((t.as_py() or b"").split()))
@@ -126,17 +126,17 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copies = tagged.select("u", "k1", "k2").join(owners.where("n > 1").drop("n"), ["k1", "k2"]).where("u <> c").select("u", "k1").distinct()
 
     spots = tagged.select("k1", F.explode(_anchors("_text")).alias("x")).select("k1", "x.*")
-    recurring = spots.groupBy("a").agg(F.min("k1").alias("one"), F.max("k1").alias("other"), F.max("again").alias("again")).where("one <> other or again = 1").select("a")
-    served = spots.join(recurring, "a").select("k1", "s", "m").groupBy("k1").agg(F.collect_list(F.struct("s", "m")).alias("x"))
+    recurring = spots.groupBy("a").agg(F.min("k1").alias("one"), F.max("k1").alias("other"), F.max("again").alias("again")).where("one <> other or again = 1").select(dealt_anew(F.col("a")).alias("b"))
+    served = spots.withColumn("b", dealt_anew(F.col("a"))).join(recurring, "b").select("k1", "s", "m").groupBy("k1").agg(F.collect_list(F.struct("s", "m")).alias("x"))
     wanted = cut(served.join(owners.drop("n"), "k1").select("k1", "c", F.col("x.s").alias("s"), F.col("x.m").alias("m")))
     release(spark)
 
     rows = tagged.select("_text", "u", "k1").join(wanted.withColumnRenamed("c", "u"), ["u", "k1"]).select(F.col("u").alias("c"), "k1", F.explode(_windows("_text", "s", "m")).alias("x")).select("c", "k1", "x.*")
-    firsts = rows.groupBy("w").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").drop("last")
-    late = cut(rows.join(firsts, "w").where("c > first").groupBy("c", "k1").agg(F.collect_list("s").alias("starts")))
+    firsts = rows.groupBy("w").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").select(dealt_anew(F.col("w")).alias("x"), "first")
+    late = cut(rows.withColumn("x", dealt_anew(F.col("w"))).join(firsts, "x").where("c > first").groupBy("c", "k1").agg(F.collect_list("s").alias("starts")))
     release(spark)
 
     known = late.select(F.col("c").alias("u"), "k1", "starts", F.lit(False).alias("copy")).unionByName(copies.select("u", "k1", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
-    joined = tagged.select("_row", "_text", "u", "k1").join(known, ["u", "k1"], "left")
-    done = joined.select("_row", _cut("_text", F.coalesce("copy", F.lit(False)), "starts").alias("x"))
+    joined = tagged.select("_row", "u", "k1").join(known, ["u", "k1"], "left")
+    done = joined.select("_row", _cut(F.col(f"_row.{quoted(text_col)}").cast("binary"), F.coalesce("copy", F.lit(False)), "starts").alias("x"))
     return done.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in given], *[F.col(f"x.{c}").alias(c) for c in new])
