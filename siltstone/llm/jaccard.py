@@ -3,7 +3,7 @@
 A document's row of the incidence matrix is its set of five-word shingles.  Copies are one row: sets are
 told apart by a 128-bit digest.  Two sets with ``100 * |x & y| >= 75 * |x | y|`` share a shingle among
 the first ``|x| - ceil(0.75 |x|) + 1`` of each, in any one order of all shingles; only these columns of
-the product are formed, and pairs whose sizes rule the overlap out are dropped before their overlap is counted.
+the product are formed, and pairs whose sizes, or bitmaps of the sets, rule the overlap out are dropped before it is counted.
 The order puts frequent shingles last, by their count over the whole table, so that common passages
 open no blocks; which shingles count as frequent alters the work, never the result.
 
@@ -11,9 +11,9 @@ Links of a block are found without all its pairs.  First every row meets one row
 and row; rows of one connected component need no further look at each other.  Then, in blocks that
 still hold several components, the rows outside the largest one meet all rows of other components.
 
-Scale: per document a few bytes and the prefix of its set are kept; shingle counts are summed
+Scale: per document a bitmap of one to two bytes a shingle is kept; shingle counts are summed
 map-side; blocks are joined by sort-merge joins that adaptive execution may split; full sets are made
-only for rows in some block.  Frequent shingles, at most ``MAX_FREQUENT``, are the one thing sent to all.
+only for rows in pairs that bitmaps leave.  Frequent shingles, at most ``MAX_FREQUENT``, are the one thing sent to all.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import cut, release, small
-from .components import connected
-from .hashing import sequence_hashes, word_hashes
+from .common import cut, dealt_anew, release, small
+from .components import connected, rerooted
+from .hashing import pieces, sequence_hashes, word_hashes
 
 SHINGLE, PERCENT = 5, 75
 #: Count in prefixes from which a shingle goes last; doubled until at most ``MAX_FREQUENT`` do.
@@ -55,44 +55,69 @@ def _lists(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([r is None for r in rows]))
 
 
-@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("prefix", _SIGNED)]))
+def signature(s: np.ndarray) -> bytes:
+    """A bitmap of at least eight bits a shingle, its size a power of two; larger ones fold onto smaller."""
+    bits = max(64, 1 << (8 * len(s) - 1).bit_length())
+    out = np.zeros(bits, dtype=bool)
+    out[s & np.uint64(bits - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_shared(one: bytes, n: int, other: bytes, m: int) -> int:
+    """No more shingles than this are in both: bits in both, and what hides behind shared bits of either."""
+    x, y = np.frombuffer(one, dtype=np.uint8), np.frombuffer(other, dtype=np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(b.reshape(-1, size)) for b in (x, y))
+    count = lambda b: int(np.bitwise_count(b).sum())
+    return count(x & y) + min(n - count(x), m - count(y))
+
+
+@F.arrow_udf(T.BooleanType())
+def _may_link(one: pa.Array, n: pa.Array, other: pa.Array, m: pa.Array) -> pa.Array:
+    rows = zip(one.to_pylist(), n.to_pylist(), other.to_pylist(), m.to_pylist(), strict=True)
+    return pa.array([(100 + PERCENT) * most_shared(a, k, b, j) >= PERCENT * (k + j) for a, k, b, j in rows], pa.bool_())
+
+
+@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bits", T.BinaryType())]))
 def _sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
+    for batch in pieces(texts):
         found = [shingles(t.as_py() or b"") for t in batch]
         yield pa.StructArray.from_arrays(
-            [pa.array([len(s) for s in found], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), _lists([s[: prefix_length(len(s))] for s in found])],
-            ["n", "digest", "prefix"],
+            [
+                pa.array([len(s) for s in found], pa.int64()),
+                pa.array([xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
+                pa.array([signature(s) if len(s) else b"" for s in found], pa.binary()),
+            ],
+            ["n", "digest", "bits"],
         )
 
 
-def _reordered(frequent: np.ndarray, counts: np.ndarray):
-    """Digest and prefix, frequent shingles last; null where no frequent one is in the prefix."""
+def _prefixed(frequent: np.ndarray, counts: np.ndarray):
+    """Digest and prefix of a set, in the order of count where frequent and then of hash."""
 
     @F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("prefix", _SIGNED)]))
-    def again(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
+    def first_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in pieces(texts):
             digests, prefixes = [], []
             for t in batch:
-                s = shingles(t.as_py() or b"")
-                p = prefix_length(len(s))
-                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                rank = np.where(frequent[at] == s, counts[at], 0)
-                if not rank[:p].any():
-                    digests.append(None)
-                    prefixes.append(None)
-                    continue
+                s = shingles(t.as_py())
                 digests.append(xxh3_128_digest(s.tobytes()))
-                prefixes.append(s[np.lexsort((s, rank))[:p]])
+                p = prefix_length(len(s))
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    rank = np.where(frequent[at] == s, counts[at], 0)
+                    if rank[:p].any():
+                        s = s[np.lexsort((s, rank))]
+                prefixes.append(s[:p].copy())  # a view would keep the whole set
             yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), _lists(prefixes)], ["digest", "prefix"])
 
-    return again
+    return first_of
 
 
-@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("shingles", T.BinaryType())]))
+@F.arrow_udf(T.BinaryType())
 def _whole(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in texts:
-        found = [shingles(t.as_py() or b"") for t in batch]
-        yield pa.StructArray.from_arrays([pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["n", "shingles"])
+    for batch in pieces(texts):
+        yield pa.array([shingles(t.as_py()).tobytes() for t in batch], pa.binary())
 
 
 @F.arrow_udf(T.BooleanType())
@@ -117,69 +142,88 @@ def internal_id(id_: Column, text: Column) -> Column:
     return F.coalesce(id_.cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(text), F.lit(1 << 61)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct (a, b) that link; sets travel once to the pairs of b, with b's to those of a."""
-    x, y = sets.select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a")), sets.select(F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
-    sized = pairs.join(x.select("a", "n_a"), "a").join(y, "b").where(near_sizes(F.col("n_a"), F.col("n_b"))).select("a", "b", "of_b")
-    return sized.join(x.select("a", "of_a"), "a").where(_linked("of_a", "of_b")).select("a", "b").distinct()
-
-
-def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``docs``; ids are whole numbers.
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the distinct (a, b) that link, checkpointed.
 
-    ``component_id`` is the smallest id reachable over links, the row's own included.  Texts that are
-    null or without words have no shingles and link with nothing.  Rows that share an id are one document: what they
-    link with is one component.  A component without any id has null.  No other column is read.
+    Bitmaps rule out most pairs that share little, and whole sets, made only for the rest, decide.  A
+    bitmap or set travels once for its own row and once for each pair that its row comes second in.
     """
-    text, uid = F.col("_text"), internal_id(F.col("_id"), F.col("_text"))
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    hashed = cut(own.select("_id", uid.alias("u"), _sets(text.cast("binary")).alias("s")).select("_id", "u", "s.n", "s.digest", "s.prefix"))
-    classes = cut(hashed.where("n > 0").groupBy("digest").agg(F.min("u").alias("c"), F.min("_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    release(docs.sparkSession)
-
-    counted = classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("k"))
+    bits = lambda c: classes.select(F.col("c").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"of_{c}"))
+    some = pairs.join(bits("b"), "b").join(bits("a"), "a").where(near_sizes(F.col("n_a"), F.col("n_b"))).where(_may_link("of_a", "n_a", "of_b", "n_b"))
+    some = cut(some.select("a", "b"))
+    release(pairs.sparkSession)
+    wanted = some.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    sets = cut(texts.join(wanted, "c", "left_semi").dropDuplicates(["c", "_text"]).select("c", _whole("_text").alias("shingles")))
+    release(pairs.sparkSession)
+    whole = lambda c: sets.select(F.col("c").alias(c), F.col("shingles").alias(f"of_{c}"))
+    out = cut(some.join(whole("b"), "b").join(whole("a"), "a").where(_linked("of_a", "of_b")).select("a", "b").distinct())
+    release(pairs.sparkSession)
+    return out
+
+
+def _frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are often in prefixes, copies counted, and how often: ``MAX_FREQUENT`` at most."""
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    counted = own.select(F.explode(_prefixed(*none)("_text")["prefix"]).alias("h")).groupBy("h").agg(F.count("*").alias("k"))
     most = FREQUENT
     often = cut(counted.where(F.col("k") > most))
-    release(docs.sparkSession)
     while not small(often.where(F.col("k") > most), MAX_FREQUENT):
         most *= 2
-    frequent = sorted((r["h"] % (1 << 64), r["k"]) for r in often.where(F.col("k") > most).collect())  # MAX_FREQUENT at most
-    if frequent:
-        hashes, counts = np.array([h for h, _ in frequent], dtype=np.uint64), np.array([k for _, k in frequent], dtype=np.int64)
-        new = own.select(_reordered(hashes, counts)(text.cast("binary")).alias("s")).select("s.digest", F.col("s.prefix").alias("new")).where(F.col("new").isNotNull()).groupBy("digest").agg(F.first("new").alias("new"))
-        rows = classes.join(new, "digest", "left").select("c", "n", F.explode(F.coalesce("new", "prefix")).alias("h"))
-    else:
-        rows = classes.select("c", "n", F.explode("prefix").alias("h"))
-    lead = rows.groupBy("h").agg(F.count("*").alias("k"), F.min_by("c", F.xxhash64("h", "c")).alias("leader")).where("k > 1").drop("k")
-    blocks = cut(rows.join(lead, "h").select("h", "c", "n", "leader"))
-    release(docs.sparkSession)
-
-    wanted = blocks.select("c").distinct()
-    keyed = own.select(uid.alias("c"), text.cast("binary").alias("_text"))
-    sets = cut(keyed.join(wanted, "c", "left_semi").dropDuplicates(["c", "_text"]).select("c", _whole("_text").alias("s")).select("c", "s.n", "s.shingles").where("n > 0"))
-    release(docs.sparkSession)
+    found = sorted((r["h"] % (1 << 64), r["k"]) for r in often.where(F.col("k") > most).collect())
+    return (np.array([h for h, _ in found], dtype=np.uint64), np.array([k for _, k in found], dtype=np.int64)) if found else none
 
-    first = cut(blocks.where("c <> leader").select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct())
-    links = cut(verified(first, sets))
-    release(docs.sparkSession)
-    roots = connected(links)
 
+def _blocks(classes: DataFrame, own: DataFrame) -> DataFrame:
+    """(h, c, n, leader): rows that share a column h of the product with others, and one of these for each h."""
+    frequent = _frequent(own)
+    release(own.sparkSession)
+    prefixes = own.select(_prefixed(*frequent)("_text").alias("s")).where(F.size("s.prefix") > 0).groupBy("s.digest").agg(F.first("s.prefix").alias("prefix"))
+    rows = prefixes.join(classes.select("digest", "c", "n"), "digest").select("c", "n", F.explode("prefix").alias("h"))
+    # of a block's least and greatest row, one leads; a row alone is both
+    ends = rows.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+    lead = ends.select(dealt_anew(F.col("h")).alias("g"), F.when(F.xxhash64("h") % 2 == 0, F.col("least")).otherwise(F.col("most")).alias("leader"))
+    return cut(rows.select(dealt_anew(F.col("h")).alias("g"), "c", "n").join(lead, "g").select(F.col("g").alias("h"), "c", "n", "leader"))
+
+
+def _unsettled(blocks: DataFrame, roots: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs of blocks that still hold several components: rows outside the largest with rows of any other."""
     held = blocks.select("h", "c", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     parts = held.groupBy("h", "root").agg(F.count("*").alias("k"))
-    open_ = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("k", "root")).alias("main")).where("parts > 1").drop("parts")
-    unsettled = cut(held.join(open_, "h"))
-    minor = unsettled.where("root <> main").select("h", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("root").alias("root1"))
-    rest = (
-        unsettled.join(minor, "h")
-        .where((F.col("root") != F.col("root1")) & near_sizes(F.col("n"), F.col("n1")) & ((F.col("root") == F.col("main")) | (F.col("c1") < F.col("c"))))
-        .select(F.least("c", "c1").alias("a"), F.greatest("c", "c1").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = cut(verified(cut(rest), sets))
-    release(docs.sparkSession)
-    ends = connected(links.union(more)) if not more.isEmpty() else roots
-
-    rooted = classes.select("digest", "c", "least").join(ends.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    several = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("k", "root")).alias("main")).where("parts > 1").select(dealt_anew(F.col("h")).alias("g"), "main")
+    open_ = cut(held.withColumn("g", dealt_anew(F.col("h"))).join(several, "g"))
+    minor = open_.where("root <> main").select("g", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("root").alias("root1"))
+    pairs = open_.join(minor, "g").where((F.col("root") != F.col("root1")) & near_sizes(F.col("n"), F.col("n1")) & ((F.col("root") == F.col("main")) | (F.col("c1") < F.col("c"))))
+    return cut(pairs.select(F.least("c", "c1").alias("a"), F.greatest("c", "c1").alias("b")).distinct().join(met, ["a", "b"], "left_anti"))
+
+
+def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for every row of ``docs``; ids are whole numbers.
+
+    ``component_id`` is the smallest id reachable over links, the row's own included.  Texts that are
+    null or without words have no shingles and link with nothing.  Rows that share an id are one document: what they
+    link with is one component.  A component without any id has null.  No other column is read.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("_id"), internal_id(F.col(id_col), text).alias("c"), text.cast("binary").alias("_text"))
+    made = cut(own.select("_id", "c", _sets("_text").alias("s")).select("_id", "c", "s.*"))
+    classes = cut(made.where("n > 0").groupBy("digest").agg(F.min("c").alias("c"), F.min("_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    hashed = cut(made.select("_id", "n", "digest"))
+    del made
+    release(spark)
+    blocks = _blocks(classes, own)
+    release(spark)
+
+    texts = own.select("c", "_text")
+    first = cut(blocks.where("c <> leader").select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct())
+    roots = connected(verified(first, classes, texts))
+    rest = _unsettled(blocks, roots, first)
+    del blocks, first
+    release(spark)
+    more = verified(rest, classes, texts)
+    if not more.isEmpty():
+        roots = rerooted(roots, more)
+
+    rooted = classes.select("digest", "c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")
-    return hashed.select("_id", "n", "digest").join(named, "digest", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    return hashed.join(named, "digest", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
