@@ -47,14 +47,13 @@ def test_sinks(spark, tmp_path):
         sinks.sink_for("pdf", "x")
 
 
-class Echo:
-    def answer(self, prompt):
-        if prompt == "bad":
-            raise RuntimeError("quota exceeded: per day")
-        return json.dumps({"said": prompt})
-
-
 def test_answers(spark):
+    class Echo:  # a local class travels to the workers
+        def answer(self, prompt):
+            if prompt == "bad":
+                raise RuntimeError("quota exceeded: per day")
+            return json.dumps({"said": prompt})
+
     df = spark.createDataFrame([(1, "hello"), (2, "bad"), (3, "more")], "page_id long, prompt string").coalesce(1)
     got = {r["page_id"]: r for r in answers.asked(df, Echo, retries=0).collect()}
     assert json.loads(got[1]["answer"]) == {"said": "hello"} and "per day" in got[2]["answer_error"] and got[3]["answer"] is None
