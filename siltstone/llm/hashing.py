@@ -40,3 +40,4 @@ def pieces(batches: Iterator[pa.Array], rows: int = 512) -> Iterator[pa.Array]:
     for batch in batches:
         for k in range(0, len(batch), rows):
             yield batch.slice(k, rows)
+        pa.default_memory_pool().release_unused()
