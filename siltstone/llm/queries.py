@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, licences, line_dedup, mixing, phrases, pii, quality, url_rules
+from . import decontam, jaccard, langid, licence_notices, licences, line_dedup, mixing, phrases, pii, quality, url_rules
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licenses(table(spark, sf_dir, "documents"), licences.known_frame(spark))
 
 
+def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_notices.find_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -168,6 +172,7 @@ QUERIES = {
         op6_line_dedup,
         op7_ngram_jaccard,
         op8_license_scans,
+        op8_license_notices,
         op9_substring_dedup,
         op10_quality_rules,
     )

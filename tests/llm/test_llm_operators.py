@@ -8,7 +8,7 @@ import pytest
 from checking import SMALL, same_rows
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontam, jaccard, langid, licences, line_dedup, mixing, phrases, pii, quality, queries, url_rules
+from siltstone.llm import decontam, jaccard, langid, licence_notices, licences, line_dedup, mixing, phrases, pii, quality, queries, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string"
 LONG = "word " * 5000
@@ -204,6 +204,38 @@ def test_licences(spark):
     assert got == {1: ("MIT", 1), 2: ("MIT", 0), 3: (None, 0), 4: (None, 0), 5: ("MIT", 0)}
 
 
+def test_licence_notices(spark):
+    full = dict(licence_notices.texts())
+    header = "# " + licence_notices.HEADERS[0][1].replace(" you", "\n# you")
+    example = "<one line to give the program's name and a brief idea of what it does.>\nCopyright (C) <year>  <name of author>\n\nThis program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n"
+    texts = {
+        "some prose\nThis work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+        "some prose\nLicensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "some prose\nReleased under the MIT Licence.\nmore": "MIT",
+        "a\n\nLicensed under the Apache\nLicense, Version 2.0.\n\nb": "Apache-2.0",
+        "code\n// SPDX-License-Identifier: GPL-2.0-or-later OR MIT": "GPL-2.0-or-later,MIT",
+        "© 2021 Some Body. Released under the MIT License.": "MIT",
+        f"{header}\ncode": "Apache-2.0",
+        f"intro\n{full['GPL-3.0']}\nmore": "GPL-3.0",
+        f"{full['GPL-2.0']}\n{example}": "GPL-2.0",
+        example.split("\n\n")[1]: "GPL-2.0-or-later",
+        f"{full['MIT']}\n\n{full['ISC']}": "ISC,MIT",
+        "This is not released under the MIT License, they say": "",
+        "copyright notices must be kept": "",
+        "": "",
+    }
+    rows = [(k, t) for k, t in enumerate(texts)] + [(-1, None)]
+    got = {r["doc_id"]: r for r in licence_notices.find_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["license_ids"] for k in range(len(texts))] == list(texts.values()) and got[-1]["license_ids"] == ""
+    assert [k for k in got if got[k]["n_copyright"]] == [5, 8]
+
+
+def test_licence_notices_of_the_table(spark, docs):
+    lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    want = {r["doc_id"]: ",".join(sorted({lines[x] for x in (r["text"] or "").split("\n") if x in lines})) for r in docs.collect()}
+    assert want == {r["doc_id"]: r["license_ids"] for r in licence_notices.find_notices(docs).collect()} and any(want.values())
+
+
 def test_lines(spark):
     rows = [(2, "a\nb\nc\nd"), (1, "x\na\nb\nc"), (3, "a\nb"), (4, "\n\n\n\n"), (5, "a\nb\nc\na\nb\nc"), (None, "a\nb\nc")]
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
