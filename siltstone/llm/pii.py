@@ -6,6 +6,9 @@ to nothing, spelled digits to digits, "at" and "dot" in their disguises to the s
 every character of its output, where in its input that came from, so what the same patterns find in the
 normalised text maps back to source characters.  A find counts only if it covers something rewritten.
 
+Of an address with only its at said ("name at host.com") the local part must have parts, two digits at its end
+or words like "mail:" before it; "name" alone is prose ("look at example.com") and is not found.
+
 Scale: one scan without a shuffle.  Every pattern is linear in the text: runs are entered at their
 start and taken whole, without retries.
 """
@@ -15,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,23 +86,26 @@ class Mapped:
 
     def rewritten(self, pattern: re.Pattern, to) -> Mapped:
         """``to`` gives the text for a match, or None to leave it; its characters all come from the whole match."""
+        return self.edited((m.start(), m.end(), to(m)) for m in pattern.finditer(self.text))
+
+    def edited(self, edits: Iterable[tuple[int, int, str | None]]) -> Mapped:
+        """With (start, end, new text), in order and apart; None leaves what is there."""
         text, spots, changed, done, gaps = [], [], [], 0, []
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if new is None or m.end() == m.start():
+        for start, end, new in edits:
+            if new is None or end == start:
                 continue
-            text.append(self.text[done : m.start()])
-            spots += self.spots[done : m.start()]
-            changed += self.changed[done : m.start()]
-            if len(new) == m.end() - m.start():  # one for one
-                spots += self.spots[m.start() : m.end()]
+            text.append(self.text[done:start])
+            spots += self.spots[done:start]
+            changed += self.changed[done:start]
+            if len(new) == end - start:  # one for one
+                spots += self.spots[start:end]
             else:
-                spots += [(self.spots[m.start()][0], self.spots[m.end() - 1][1])] * len(new)
+                spots += [(self.spots[start][0], self.spots[end - 1][1])] * len(new)
             text.append(new)
             changed += [True] * len(new)
             if not new:
                 gaps.append(len(changed))  # what follows a deletion counts as rewritten
-            done = m.end()
+            done = end
         if not text:
             return self
         changed += self.changed[done:]
@@ -128,8 +134,17 @@ _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]+)?{_DIGIT}(?:[ ,-]+(?:{_DIGIT
 _ENTITY = re.compile(r"&#0*64;|&#[xX]0*40;|&commat;|&#0*46;|&#[xX]0*2[eE];|&period;|%40")
 _BRACKETED = re.compile(r"[ \t]*(?:\[[ \t]*(?:at|@|dot|\.)[ \t]*\]|\([ \t]*(?:at|@|dot|\.)[ \t]*\)|\{[ \t]*(?:at|@|dot|\.)[ \t]*\}|<[ \t]*(?:at|@|dot|\.)[ \t]*>|[ \t]_(?:at|dot)_|[-_]{1,2}(?:at|dot)[-_]{1,2})[ \t]*", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I)
-#: A whole address, as its signs are said aloud: some dot at least is a word, or the at is.
-_SAID = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|[ \t]+dot[ \t]+)[A-Za-z0-9_%+-]+)?)(?:[ \t]+at[ \t]+|[ \t]*@[ \t]*)(?P<domain>[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)*(?:[ \t]+dot[ \t]+|\.)(?!dot\b)[A-Za-z]{2,10})(?![A-Za-z0-9-])", re.I)
+#: A whole address, as its signs are said aloud: its at, then what may stand before it, read backwards, and after it.
+_SAID_AT = re.compile(r"(?<![ \t])[ \t]++(?:at[ \t]++|@[ \t]*+)|@[ \t]*+", re.I)
+_SAID_LOCAL = re.compile(r"[A-Za-z0-9_%+-]++(?:(?:\.|[ \t]++tod[ \t]++)[A-Za-z0-9_%+-]++)*+", re.I)
+_SAID_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:[ \t]++dot[ \t]++|\.)[A-Za-z0-9-]++)*+", re.I)
+_SAID_DOT = re.compile(r"[ \t]+dot[ \t]+|\.", re.I)
+_LABEL = re.compile(r"(?!dot$)[A-Za-z]{2,63}", re.I)
+#: Where only the at is said: locals that are no word of prose and no name of a file or host, or that are introduced as an address.
+_MAILBOX = re.compile(r"[A-Za-z]+[0-9]*(?:[._+][A-Za-z0-9]+)*[._+](?!(?:js|py|net|io|com|org|md|txt|html?)$)[A-Za-z0-9]+|[A-Za-z]+[0-9]{2,}", re.I)
+_INTRODUCED = re.compile(r"(?:mail|mailto|contact|address)[ \t]*(?:[:=]|[ \t]is)[ \t]*$", re.I)
+_SAID_PLAINLY = re.compile(r"[ \t]at[ \t]+[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
+_PRONOUNS = frozenset(["me", "us", "him", "her", "them", "you", "it"])
 _SAID_SIGN = re.compile(r"[ \t]+(at|dot)[ \t]+|[ \t]*@[ \t]*", re.I)
 _LONG_DIGITS = re.compile(r"(?<![0-9+])[0-9]{10,15}(?![0-9])")
 
@@ -173,7 +188,7 @@ def normalised(text: str) -> Mapped | None:
     signs = "at" in low and any(c in text for c in "[({<-_")
     foreign = not text.isascii() and _FOREIGN.search(text)
     spelled = "e" in low and _SPELLED.search(text)
-    said = "dot" in low or "@" in text
+    said = "dot" in low or "@" in text or _SAID_PLAINLY.search(text)
     entity = ("&" in text or "%40" in text) and _ENTITY.search(text)
     bracketed = (signs or said or any(x in text for x in ("[.", "(.", "{.", "[@", "(@"))) and _BRACKETED.search(text)
     if not (foreign or spelled or said or entity or bracketed):
@@ -186,17 +201,33 @@ def normalised(text: str) -> Mapped | None:
     if bracketed or foreign:
         out = out.rewritten(_BRACKETED, _sign)
     out = out.rewritten(_SPELLED, _digits) if spelled or foreign else out
-    for m in reversed(list(_SAID.finditer(out.text))):
-        words = m[0].lower().split()
-        if "dot" in words or "at" in words and "." in m["domain"] and any(out.changed[m.start() : m.end()]):
-            out = _said(out, m.start(), m.end())
-    return out.rewritten(_NUMBER_DOT, lambda m: ".")
+    return out.edited(_said(out)).rewritten(_NUMBER_DOT, lambda m: ".")
 
 
-def _said(whole: Mapped, start: int, end: int) -> Mapped:
-    """``whole`` with the signs of one said address written."""
-    part = Mapped(whole.text[start:end], whole.spots[start:end], whole.changed[start:end]).rewritten(_SAID_SIGN, _sign)
-    return Mapped(whole.text[:start] + part.text + whole.text[end:], whole.spots[:start] + part.spots + whole.spots[end:], whole.changed[:start] + part.changed + whole.changed[end:])
+def _said(shown: Mapped) -> Iterator[tuple[int, int, str]]:
+    """The edits that write the signs of said addresses.
+
+    Linear: what is read backwards from an at ends at the at before, which is no part of it.
+    """
+    text, first = shown.text, 0
+    for at in _SAID_AT.finditer(text):
+        before, first = text[first : at.start()], max(first, at.end())
+        local, domain = _SAID_LOCAL.match(before[::-1]), _SAID_DOMAIN.match(text, at.end())
+        if not local or not domain:
+            continue
+        start, end = at.start() - local.end(), domain.end()
+        dots = list(_SAID_DOT.finditer(domain[0]))
+        while dots and not _LABEL.fullmatch(text, domain.start() + dots[-1].end(), end):
+            end = domain.start() + dots.pop().start()
+        words = text[start:end].lower().split()
+        if dots and ("dot" in words or "at" in words and (any(shown.changed[start:end]) or _mailbox(text, start, at.start()))):
+            yield from ((start + m.start(), start + m.end(), _sign(m)) for m in _SAID_SIGN.finditer(text[start:end]))
+            first = max(first, end)
+
+
+def _mailbox(text: str, start: int, end: int) -> bool:
+    local = text[start:end]
+    return bool(_MAILBOX.fullmatch(local)) or local.lower() not in _PRONOUNS and bool(_INTRODUCED.search(text[max(start - 20, 0) : start]))
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

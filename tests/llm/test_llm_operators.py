@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import pytest
 from checking import SMALL, same_rows
@@ -91,6 +92,30 @@ def test_pii(text, found):
     assert [f"{k}:{text[a:b]}" for a, b, k in pii.all_spans(text)[1]] == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("write mary.ann.lee at example dot com", ["email:mary.ann.lee at example dot com"]),
+        ("write mary dot ann dot lee at example dot com now", ["email:mary dot ann dot lee at example dot com"]),
+        ("bob at example dot photography", ["email:bob at example dot photography"]),
+        ("ask mary.lee at host.com, or bob42 at host.com", ["email:mary.lee at host.com", "email:bob42 at host.com"]),
+        ("mail: bob at host.com", ["email:bob at host.com"]),
+        ("a dot b at c dot org and d dot e dot f at g dot org", ["email:a dot b at c dot org", "email:d dot e dot f at g dot org"]),
+        ("bob at example dot com dot 5", ["email:bob at example dot com"]),
+        ("look at example.com; mail me at home.net; read node.js at nodejs.org", []),
+    ],
+)
+def test_pii_said(text, found):
+    assert [f"{k}:{text[a:b]}" for a, b, k in pii.all_spans(text)[1]] == found
+
+
+def test_pii_said_is_linear():
+    for text in ("a dot " * 40_000, "a at " * 40_000, " " * 200_000 + "at", "a dot b at " * 20_000, "dot at " * 40_000, "a@" * 60_000 + " dot"):
+        start = time.monotonic()
+        pii.all_spans(text)
+        assert time.monotonic() - start < 5
+
+
 def test_pii_base(docs):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     digits = lambda s: re.sub(r"\D", "", s)
