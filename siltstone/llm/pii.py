@@ -127,10 +127,14 @@ _FOREIGN = re.compile(f"[{''.join(_LOOKS)}{''.join(map(re.escape, _SIGNS))}{_INV
 # Names of digits and of signs.
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _TIMES = {"double": 2, "triple": 3}
-_DIGIT = rf"(?:(?:double|triple)[ -]+)?(?:{'|'.join(_DIGITS)})"
-#: Names of digits in a row, or among digits, that count: fewer are prose.
+_NAME = rf"(?:(?:double|triple)[ -]+)?(?:{'|'.join(_DIGITS)})(?![A-Za-z0-9])"
+#: Names of digits in a row, or among digits, that count: fewer are prose, unless there are three dots among them.
 LEAST_SPELLED = 4
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,-]+)?{_DIGIT}(?:[ ,-]+(?:{_DIGIT}|[0-9]+)(?![A-Za-z])){{{LEAST_SPELLED - 1},}}(?:(?=[^A-Za-z])|$)", re.I)
+_DOT = r"(?:\.|[ \t]+dot[ \t]+)"
+_BETWEEN = r"(?:[ \t,.()\[\]{}-]|(?<![A-Za-z])dot(?![A-Za-z]))++"
+_STARTS = (rf"(?:plus{_BETWEEN}|\+[ \t]*+)?{_NAME}", rf"(?:plus{_BETWEEN}|\+[ \t]*+)[0-9]{{1,3}}(?={_BETWEEN}{_NAME})", rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{0,2}}(?={_DOT}{_NAME})")
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(_STARTS)})(?:{_BETWEEN}(?:{_NAME}|[0-9]++(?![A-Za-z])))*+", re.I)
+_SPELLED_PART = re.compile(rf"(?P<name>{_NAME})|(?P<plus>plus|\+)|(?P<number>[0-9]+)|(?P<between>{_BETWEEN})", re.I)
 _ENTITY = re.compile(r"&#0*64;|&#[xX]0*40;|&commat;|&#0*46;|&#[xX]0*2[eE];|&period;|%40")
 _BRACKETED = re.compile(r"[ \t]*(?:\[[ \t]*(?:at|@|dot|\.)[ \t]*\]|\([ \t]*(?:at|@|dot|\.)[ \t]*\)|\{[ \t]*(?:at|@|dot|\.)[ \t]*\}|<[ \t]*(?:at|@|dot|\.)[ \t]*>|[ \t]_(?:at|dot)_|[-_]{1,2}(?:at|dot)[-_]{1,2})[ \t]*", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I)
@@ -147,6 +151,8 @@ _SAID_PLAINLY = re.compile(r"[ \t]at[ \t]+[A-Za-z0-9-]+\.[A-Za-z0-9]", re.I)
 _PRONOUNS = frozenset(["me", "us", "him", "her", "them", "you", "it"])
 _SAID_SIGN = re.compile(r"[ \t]+(at|dot)[ \t]+|[ \t]*@[ \t]*", re.I)
 _LONG_DIGITS = re.compile(r"(?<![0-9+])[0-9]{10,15}(?![0-9])")
+#: The same in groups, as spelled ones are left.
+_GROUPED = re.compile(r"(?<![0-9+.(])\(?[0-9]{3}(?:\)|\)?\. ?)[0-9]{3}(?:\. ?)?[0-9]{4}(?![0-9])")
 
 
 def _foreign(m: re.Match) -> str:
@@ -162,16 +168,28 @@ def _foreign(m: re.Match) -> str:
     return unicodedata.normalize("NFKC", c)
 
 
-def _digits(m: re.Match) -> str:
-    out, times = "", 1
-    for word in re.findall(r"[a-z]+|[0-9]+", m[0].lower()):
-        if word in _TIMES:
-            times = _TIMES[word]
-        elif word == "plus":
-            out += "+"
-        else:
-            out, times = out + _DIGITS.get(word, word) * times, 1
-    return out
+def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
+    """The edits that write spelled digits, and what stands between them: dots and brackets stay, in their signs."""
+    for run in _SPELLED.finditer(text):
+        parts = list(_SPELLED_PART.finditer(text, *run.span()))
+        names = sum(m.lastgroup == "name" for m in parts)
+        dots = sum(m.lastgroup == "between" and _between(m[0], False) == "." for m in parts)
+        if names >= LEAST_SPELLED or names and dots >= 3:
+            for m in parts:
+                yield m.start(), m.end(), _between(m[0], dots >= 3) if m.lastgroup == "between" else _digits(m[0])
+
+
+def _digits(part: str) -> str:
+    *times, last = re.findall(r"[a-z]+|[0-9]+|\+", part.lower())
+    return "+" if last in ("plus", "+") else _DIGITS.get(last, last) * (_TIMES[times[0]] if times else 1)
+
+
+def _between(part: str, commas: bool) -> str:
+    """Commas part an IP address from what follows; a full stop before a space is none of its dots."""
+    if "dot" in part.lower():
+        return "."
+    signs = "".join("(" if c in "([{" else ")" if c in ")]}" else c if c == "." or c == "," and commas else "" for c in part)
+    return signs + " " if "." in signs and part != "." else signs
 
 
 def _sign(m: re.Match) -> str:
@@ -187,7 +205,7 @@ def normalised(text: str) -> Mapped | None:
     low = text.lower()
     signs = "at" in low and any(c in text for c in "[({<-_")
     foreign = not text.isascii() and _FOREIGN.search(text)
-    spelled = "e" in low and _SPELLED.search(text)
+    spelled = "e" in low and next(_spelled(text), None)
     said = "dot" in low or "@" in text or _SAID_PLAINLY.search(text)
     entity = ("&" in text or "%40" in text) and _ENTITY.search(text)
     bracketed = (signs or said or any(x in text for x in ("[.", "(.", "{.", "[@", "(@"))) and _BRACKETED.search(text)
@@ -200,7 +218,7 @@ def normalised(text: str) -> Mapped | None:
         out = out.rewritten(_ENTITY, _entity)
     if bracketed or foreign:
         out = out.rewritten(_BRACKETED, _sign)
-    out = out.rewritten(_SPELLED, _digits) if spelled or foreign else out
+    out = out.edited(_spelled(out.text)) if spelled or foreign or bracketed else out
     return out.edited(_said(out)).rewritten(_NUMBER_DOT, lambda m: ".")
 
 
@@ -237,6 +255,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     shown = normalised(text)
     if shown is not None:
         hidden = base_spans(shown.text) + [(*m.span(), "phone") for m in _LONG_DIGITS.finditer(shown.text) if all(shown.changed[m.start() : m.end()])]
+        hidden += [(*m.span(), "phone") for m in _GROUPED.finditer(shown.text) if all(shown.changed[k] for k in range(*m.span()) if shown.text[k].isdigit())]
         for start, end, kind in hidden:
             if any(shown.changed[start:end]):
                 found.add((*shown.source(start, end), kind))

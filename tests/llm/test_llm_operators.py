@@ -109,8 +109,27 @@ def test_pii_said(text, found):
     assert [f"{k}:{text[a:b]}" for a, b, k in pii.all_spans(text)[1]] == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("host one nine two dot one six eight dot zero dot one up", ["ip:one nine two dot one six eight dot zero dot one"]),
+        ("host 192 dot one six eight dot 0 dot 1", ["ip:192 dot one six eight dot 0 dot 1"]),
+        ("host one zero.zero.zero.double five", ["ip:one zero.zero.zero.double five"]),
+        ("plus one (four one five) five five five - zero one two three", ["phone:plus one (four one five) five five five - zero one two three"]),
+        ("plus one four one five. five five five. zero one two three.", ["phone:plus one four one five. five five five. zero one two three"]),
+        ("+1 [four one five] five five five zero one two three", ["phone:+1 [four one five] five five five zero one two three"]),
+        ("call (four one five) five five five zero one two three", ["phone:(four one five) five five five zero one two three"]),
+        ("one nine two dot one six eight dot zero dot one, four one five five five five zero one two three", ["ip:one nine two dot one six eight dot zero dot one", "phone:four one five five five five zero one two three"]),
+        ("One. Two. Three. Four. It is one (two) three.", []),
+        ("version 2 dot one, one dot two", []),
+    ],
+)
+def test_pii_spelled(text, found):
+    assert [f"{k}:{text[a:b]}" for a, b, k in pii.all_spans(text)[1]] == found
+
+
 def test_pii_said_is_linear():
-    for text in ("a dot " * 40_000, "a at " * 40_000, " " * 200_000 + "at", "a dot b at " * 20_000, "dot at " * 40_000, "a@" * 60_000 + " dot"):
+    for text in ("one (" * 40_000, "one." * 40_000, "1." * 60_000 + "one", "plus " * 40_000, "double " * 40_000, "one" + " " * 200_000, "a dot " * 40_000, "a at " * 40_000, " " * 200_000 + "at", "a dot b at " * 20_000, "dot at " * 40_000, "a@" * 60_000 + " dot"):
         start = time.monotonic()
         pii.all_spans(text)
         assert time.monotonic() - start < 5
