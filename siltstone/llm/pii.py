@@ -120,9 +120,20 @@ class Mapped:
 
 # Letters of other scripts that look like ASCII ones, and what they look like.
 _LOOKS = dict(zip("аеорсухіјѕԁһАВЕКМНОРСТХІЈЅαοονρτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhABEKMHOPCTXIJSaoovptuikABEZHIKMNOPTYX", strict=True))
+_LOOKS |= dict(zip("кԛԝѵүҽӏвмнтгпһԁУҮԚԜѴԌӀҺεηχγωσϲϳϹͿօսոհյցզլՏՕՍԼᎪᎬᎻᎠᎡᎢᎥᎫᎳᎷᏃᏀᏚᏙᏞᏟᏢᏦᏴıɑɡɩᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "kqwvyelbmhtrnhdYYQWVGIhenxywocjCJounhjgqlSOULAEHDRTiJWMZGSVLCPKBiagiabcdefghijklmnoprstuvwyz", strict=True))
+#: Negative circled and squared letters, which have no compatibility form.
+_LOOKS |= {chr(first + k): chr(ord("A") + k) for first in (0x1F150, 0x1F170) for k in range(26)}
 _INVISIBLE = "­​‌‍⁠﻿"
-_SIGNS = {"﹫": "@", "․": ".", "。": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ", " ": " "}
-_FOREIGN = re.compile(f"[{''.join(_LOOKS)}{''.join(map(re.escape, _SIGNS))}{_INVISIBLE}！-～٠-٩۰-۹०-९⁰-⁹₀-₉①-⑨\U0001d7ce-\U0001d7ff]")
+_SIGNS = {"﹫": "@", "｡": ".", "ꓸ": ".", "․": ".", "。": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ", " ": " "}
+#: All characters with a decimal digit's value, or whose compatibility form is printable ASCII, but marks that follow a word.
+_MARKS = frozenset("™℠")
+_COMPATIBLE = [c for c in map(chr, range(0x80, 0x20000)) if c not in _MARKS and (unicodedata.digit(c, None) is not None or re.fullmatch(r"[ -~]+", unicodedata.normalize("NFKC", c)))]
+_ALL_FOREIGN = sorted({*_LOOKS, *_SIGNS, *_INVISIBLE, *_COMPATIBLE})
+#: Apart, since a class with characters beyond U+FFFF is no table and slow.
+_FOREIGN_BASIC = f"[{''.join(re.escape(c) for c in _ALL_FOREIGN if c <= '\uffff')}]"
+_FOREIGN_BEYOND = f"[{''.join(c for c in _ALL_FOREIGN if c > '\uffff')}]"
+_BASIC, _BEYOND = re.compile(_FOREIGN_BASIC), re.compile(rf"(?=[\U00010000-\U0001ffff]){_FOREIGN_BEYOND}")
+_FOREIGN = re.compile(rf"{_FOREIGN_BASIC}|{_BEYOND.pattern}")
 
 # Names of digits and of signs.
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -204,7 +215,7 @@ def normalised(text: str) -> Mapped | None:
     """The text after all transducers; None if none of them applies."""
     low = text.lower()
     signs = "at" in low and any(c in text for c in "[({<-_")
-    foreign = not text.isascii() and _FOREIGN.search(text)
+    foreign = not text.isascii() and (_BASIC.search(text) or _BEYOND.search(text))
     spelled = "e" in low and next(_spelled(text), None)
     said = "dot" in low or "@" in text or _SAID_PLAINLY.search(text)
     entity = ("&" in text or "%40" in text) and _ENTITY.search(text)

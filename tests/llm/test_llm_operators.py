@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import time
+import unicodedata
 
 import pytest
 from checking import SMALL, same_rows
@@ -128,6 +129,20 @@ def test_pii_spelled(text, found):
     assert [f"{k}:{text[a:b]}" for a, b, k in pii.all_spans(text)[1]] == found
 
 
+def test_pii_foreign():
+    bold = "".join(chr(0x1D41A + ord(c) - 97) if c.isalpha() else c for c in "bob@example.com")
+    circled = "".join(chr(0x24D0 + ord(c) - 97) if c.isalpha() else c for c in "bob@example.com")
+    squared = "".join(chr(0x1F130 + ord(c) - 97) if c.isalpha() else c for c in "bob@example.com")
+    for text in (bold, circled, squared, "mi\u043ae@example.com", "bob\uff20example\uff0ecom", "\u0299ob@example.com"):
+        assert (0, len(text), "email") in pii.all_spans(f"{text} now")[1]
+    assert (0, 11, "ip") in pii.all_spans("".join(chr(0x1D7E2 + int(c)) if c.isdigit() else c for c in "192.168.0.1"))[1]
+    assert pii.all_spans("bob@example.com\u2122")[1] == [(0, 15, "email")]
+    for c in map(chr, range(0x80, 0x110000)):
+        form = unicodedata.normalize("NFKC", c)
+        if re.fullmatch("[ -~]+", form) and c not in "\u2122\u2120":
+            assert pii._FOREIGN.fullmatch(c), hex(ord(c))
+
+
 def test_pii_said_is_linear():
     for text in ("one (" * 40_000, "one." * 40_000, "1." * 60_000 + "one", "plus " * 40_000, "double " * 40_000, "one" + " " * 200_000, "a dot " * 40_000, "a at " * 40_000, " " * 200_000 + "at", "a dot b at " * 20_000, "dot at " * 40_000, "a@" * 60_000 + " dot"):
         start = time.monotonic()
