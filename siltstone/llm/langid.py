@@ -5,9 +5,10 @@ inverse document frequency and normalised.  The weights are trained with follow-
 (proximal, per-coordinate rates, L1 and L2 penalties), which leaves most of them zero; then one
 temperature is set by likelihood on labelled rows kept out of training, so that scores are probabilities.
 
-Scale: training reads a sample of at most about ``TRAIN_ROWS`` labelled rows, drawn by a hash of the id
-(a count of ids first, no sort), whose features are made on the executors; the driver gets at most
-``DIMS`` numbers a row.  Prediction is one scan without a shuffle; the model is ``DIMS`` by languages.
+Scale: training reads a sample of the same number of labelled rows for every language, ``TRAIN_ROWS`` in all but
+``LEAST_ROWS`` of a language, or all it has.  It is drawn by a hash of id and text (counts of distinct hashes first,
+no sort), its features are made on the executors; the driver gets at most ``DIMS`` numbers a row.  Document
+frequencies are counted over all labelled rows that may be learned from, by one more scan.  Prediction is one scan without a shuffle; the model is ``DIMS`` by languages.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from pyspark.sql import types as T
 from .common import quoted, with_fields
 
 DIMS = 1 << 15
-#: Labelled rows that training takes, about, and the share that calibration keeps: one in so many.
+#: Labelled rows that training takes, and the share that calibration keeps: one in so many.
 TRAIN_ROWS, KEPT_OUT = 2000, 5
+#: Rows that each language has at least, if it has so many; more languages mean more rows.
+LEAST_ROWS = 100
+#: Rows drawn for one that is taken: counts of distinct hashes are approximate.
+SPARE = 2
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.002
 #: Code points that are hashed at a time.
 CHUNK = 1 << 20
@@ -102,14 +107,14 @@ def temperature_for(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(rows: list[tuple[list[int], list[int], str]]) -> dict:
-    """A model of (n-gram hashes, counts, language) rows, in the order given; none: no languages."""
+def train(rows: list[tuple[list[int], list[int], str]], seen: np.ndarray, n_docs: int) -> dict:
+    """A model of (n-gram hashes, counts, language) rows, in the order given; none: no languages.
+
+    ``seen`` is in how many of ``n_docs`` documents each n-gram hash occurs.
+    """
     names = sorted({lang for _, _, lang in rows})
-    seen = np.zeros(DIMS)
     sparse = [(np.asarray(at, dtype=np.int64), np.asarray(n, dtype=np.float64), names.index(lang)) for at, n, lang in rows]
-    for at, _, _ in sparse:
-        seen[at] += 1
-    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    idf = np.log((1 + n_docs) / (1 + seen)) + 1
     leader = Leader(DIMS, len(names))
     ready = [(*weighed(at, n, idf), y) for at, n, y in sparse]
     kept = [x for k, x in enumerate(ready) if k % KEPT_OUT == KEPT_OUT - 1]
@@ -148,14 +153,49 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("null")).cast("binary")) % 3 == 1
 
 
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen, n = np.zeros(DIMS, dtype=np.int64), 0
+    for batch in batches:
+        for text in batch.column(0):
+            seen += counts_of(text.as_py()) > 0
+            n += 1
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], n), pa.int64())], ["at", "n"])
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many rows of one column of texts each n-gram hash occurs, and the number of rows."""
+    seen, n_docs = np.zeros(DIMS), 0
+    for r in texts.mapInArrow(_document_counts, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        if r["at"] < 0:
+            n_docs = r["n"]
+        else:
+            seen[r["at"]] = r["n"]
+    return seen, n_docs
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> dict:
-    """A model of the labelled rows that aren't held out.  The draw is by hash, so reruns agree."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    n = labelled.count()
-    drawn = labelled.withColumn("_at", F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000_007))).where((F.col("_at") < rows / max(n, 1) * 1_000_000_007) & F.col(text_col).isNotNull())
-    got = drawn.select("_at", F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("key"), _counted(F.col(text_col)).alias("c")).limit(2 * rows).collect()
-    got.sort(key=lambda r: (r["_at"], r["id"] or "", r["key"]))
-    return train([(r["c"]["at"], r["c"]["n"], r["lang"]) for r in got])
+    """A model of the labelled rows that aren't held out and have a text.
+
+    Of every language, the rows of the least hashes of id and text; copies of both count once.  Ties are in the order
+    of id and a second hash of the text, so reruns agree.
+    """
+    id_, text = F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("null")), F.col(quoted(text_col))
+    learnable = docs.where(F.col(quoted(lang_col)).isNotNull() & text.isNotNull() & ~held_out(F.col(quoted(id_col))))
+    labelled = learnable.select(id_.alias("id"), F.col(quoted(lang_col)).alias("lang"), text.alias("text"), F.xxhash64(id_, text).alias("mark"), F.xxhash64(text).alias("key"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()}
+    if not sizes:
+        return train([], np.zeros(DIMS), 0)
+    each = max(rows // len(sizes), LEAST_ROWS)
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(SPARE * each / max(n, 1), 1) * 1_000_000_007))])
+    drawn = labelled.where(F.pmod("mark", F.lit(1_000_000_007)) < F.element_at(share, F.col("lang")))
+    once = drawn.groupBy("lang", "mark", "id", "key").agg(F.min("text").alias("text"))
+    got, taken, left = once.select("lang", "mark", "id", "key", _counted(F.col("text")).alias("c")).collect(), [], dict.fromkeys(sizes, each)
+    for r in sorted(got, key=lambda r: (r["mark"] % 1_000_000_007, r["mark"], r["id"], r["key"], r["lang"])):
+        if left[r["lang"]]:
+            left[r["lang"]] -= 1
+            taken.append((r["c"]["at"], r["c"]["n"], r["lang"]))
+    return train(taken, *document_frequencies(learnable.select(text)))
 
 
 def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:

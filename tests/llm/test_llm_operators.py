@@ -181,6 +181,17 @@ def test_language(spark, docs):
     assert {(r["lang_pred"], r["score"]) for r in langid.identify(few, langid.fit(docs)).collect()} == {("und", 0.0)}
 
 
+def test_language_draw(spark):
+    """A rare language is learned, frequencies are of all rows, and copies of a row neither crowd others out nor change reruns."""
+    rows = [(k, f"the quick word {k}", "en") for k in range(9000)] + [(20_000 + k, f"un mot rapide zzz {k}", "fr") for k in range(3)] + [(30_000, "das gleiche Wort", "de")] * 6000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, other = langid.fit(df), langid.fit(df.repartition(7))
+    assert one["names"] == ["de", "en", "fr"] or not df.where("lang = 'de'").where(~langid.held_out(F.col("doc_id"))).count() and one["names"] == ["en", "fr"]
+    assert (one["weights"] == other["weights"]).all() and (one["idf"] == other["idf"]).all()
+    learnable = df.where(~langid.held_out(F.col("doc_id")))
+    assert langid.document_frequencies(learnable.select("text"))[1] == learnable.count()
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).join(docs.select("doc_id", "source", "text"), "doc_id").collect()
     sizes, taken, target = collections.Counter(), collections.Counter(), {}
