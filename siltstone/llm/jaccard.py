@@ -1,9 +1,9 @@
-"""Jaccard join of documents over word shingles: a blocked sparse product of documents by n-grams.
+"""Jaccard join of documents over word shingles: a prefix-filter join in blocks, then exact overlaps.
 
-A document's row of the incidence matrix is its set of five-word shingles.  Copies are one row: sets are
+No product of documents by n-grams is accumulated.  A document's row is its set of five-word shingles.  Copies are one row: sets are
 told apart by a 128-bit digest.  Two sets with ``100 * |x & y| >= 75 * |x | y|`` share a shingle among
-the first ``|x| - ceil(0.75 |x|) + 1`` of each, in any one order of all shingles; only these columns of
-the product are formed, and pairs whose sizes, or bitmaps of the sets, rule the overlap out are dropped before it is counted.
+the first ``|x| - ceil(0.75 |x|) + 1`` of each, in any one order of all shingles; only these
+shingles open blocks, and pairs whose sizes, or bitmaps of the sets, rule the overlap out are dropped before it is counted.
 The order puts frequent shingles last, by their count over the whole table, so that common passages
 open no blocks; which shingles count as frequent alters the work, never the result.
 
