@@ -1,19 +1,26 @@
-"""Jaccard join of documents over word shingles: a prefix-filter join in blocks, then exact overlaps.
+"""Jaccard join of documents over word shingles: a blocked sparse product of documents by shingles.
 
-No product of documents by n-grams is accumulated.  A document's row is its set of five-word shingles.  Copies are one row: sets are
-told apart by a 128-bit digest.  Two sets with ``100 * |x & y| >= 75 * |x | y|`` share a shingle among
-the first ``|x| - ceil(0.75 |x|) + 1`` of each, in any one order of all shingles; only these
-shingles open blocks, and pairs whose sizes, or bitmaps of the sets, rule the overlap out are dropped before it is counted.
-The order puts frequent shingles last, by their count over the whole table, so that common passages
-open no blocks; which shingles count as frequent alters the work, never the result.
+A document's row is its set of five-word shingles.  Copies are one row: sets are told apart by a
+128-bit digest.  Which entries of the product can reach ``100 * |x & y| >= 75 * |x | y|`` is bounded
+before any tile is multiplied: linked sets share at least k of the first ``|x| - ceil(0.75 |x|) + k``
+shingles of each, in any one order of all shingles, and their sizes differ by a third at most.  So only prefixes
+are dealt by column, only to rows of a like size, and a row with fewer than k columns that any other row of that size has goes.
+
+Rows that are left are dealt to tiles by the least hash of their columns, which rows that are alike
+mostly have in common; small groups share a tile, large ones are cut by a hash.  A task holds one tile, counts
+overlaps (``product.merged_parts``) and gives out only which parts became one; pairs are never rows.  Each row is
+in two size classes, an even and an odd one: all even tiles are multiplied first, then the odd ones, with other
+cuts and without comparing rows that are connected already.  Columns that then still lie in several tiles and
+in several components are settled by products of two tiles, the rows outside the column's largest component with the others.
 
-Links of a block are found without all its pairs.  First every row meets one row of the block, chosen by a hash of block
-and row; rows of one connected component need no further look at each other.  Then, in blocks that
-still hold several components, the rows outside the largest one meet all rows of other components.
+The order puts frequent shingles last, by their count over the whole table, so that common passages
+open no tiles; which shingles count as frequent alters the work, never the result.
 
-Scale: per document a bitmap of one to two bytes a shingle is kept; shingle counts are summed
-map-side; blocks are joined by sort-merge joins that adaptive execution may split; full sets are made
-only for rows in pairs that bitmaps leave.  Frequent shingles, at most ``MAX_FREQUENT``, are the one thing sent to all.
+Scale: shingle counts are summed map-side; columns are joined by sort-merge joins that adaptive execution may
+split; whole sets are made only for rows that the bounds leave, and travel once a pass and once for each pair of tiles.  A group
+of near copies that link, however large, is connected after the two passes; one whose members
+share columns without linking costs the square of its tiles, as any exact product does.  Frequent
+shingles, at most ``MAX_FREQUENT``, are the one thing sent to all.
 """
 
 from __future__ import annotations
@@ -27,13 +34,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import cut, dealt_anew, release, small
-from .components import connected, rerooted
+from .common import cut, dealt_anew, quoted, release, small, stored
+from .components import rerooted
 from .hashing import pieces, sequence_hashes, word_hashes
+from .product import PERCENT, least_of, merged_parts
 
-SHINGLE, PERCENT = 5, 75
+SHINGLE = 5
 #: Count in prefixes from which a shingle goes last; doubled until at most ``MAX_FREQUENT`` do.
 FREQUENT, MAX_FREQUENT = 32, 1 << 20
+#: One column more than the first for so many shingles must be shared.
+PER_COLUMN = 16
+#: Shingles of a tile: of one that small groups share, and of one that a large group is cut into.
+SHARED_TILE, CUT_TILE = 1 << 18, 1 << 19
+#: Size classes are powers of a little over 100 / PERCENT; sizes beyond the last are in one.
+SIZE_STEP, LAST_SIZE = 100 / PERCENT + 1e-6, 62
 
 _SIGNED = T.ArrayType(T.LongType())
 
@@ -44,52 +58,22 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1 if n else 0
+    return n - least_of(n) + 1 + n // PER_COLUMN if n else 0
 
 
 def _lists(rows: list) -> pa.Array:
-    """A list array of signed longs; None is null."""
+    """A list array of signed longs."""
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([0 if r is None else len(r) for r in rows], out=offsets[1:])
-    flat = np.concatenate([r.view(np.int64) for r in rows if r is not None and len(r)] or [np.zeros(0, dtype=np.int64)])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([r is None for r in rows]))
-
-
-def signature(s: np.ndarray) -> bytes:
-    """A bitmap of at least eight bits a shingle, its size a power of two; larger ones fold onto smaller."""
-    bits = max(64, 1 << (8 * len(s) - 1).bit_length())
-    out = np.zeros(bits, dtype=bool)
-    out[s & np.uint64(bits - 1)] = True
-    return np.packbits(out, bitorder="little").tobytes()
-
+    np.cumsum([len(r) for r in rows], out=offsets[1:])
+    flat = np.concatenate([r.view(np.int64) for r in rows if len(r)] or [np.zeros(0, dtype=np.int64)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
-def most_shared(one: bytes, n: int, other: bytes, m: int) -> int:
-    """No more shingles than this are in both: bits in both, and what hides behind shared bits of either."""
-    x, y = np.frombuffer(one, dtype=np.uint8), np.frombuffer(other, dtype=np.uint8)
-    size = min(len(x), len(y))
-    x, y = (np.bitwise_or.reduce(b.reshape(-1, size)) for b in (x, y))
-    count = lambda b: int(np.bitwise_count(b).sum())
-    return count(x & y) + min(n - count(x), m - count(y))
 
-
-@F.arrow_udf(T.BooleanType())
-def _may_link(one: pa.Array, n: pa.Array, other: pa.Array, m: pa.Array) -> pa.Array:
-    rows = zip(one.to_pylist(), n.to_pylist(), other.to_pylist(), m.to_pylist(), strict=True)
-    return pa.array([(100 + PERCENT) * most_shared(a, k, b, j) >= PERCENT * (k + j) for a, k, b, j in rows], pa.bool_())
-
-
-@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bits", T.BinaryType())]))
+@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]))
 def _sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in pieces(texts):
         found = [shingles(t.as_py() or b"") for t in batch]
-        yield pa.StructArray.from_arrays(
-            [
-                pa.array([len(s) for s in found], pa.int64()),
-                pa.array([xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
-                pa.array([signature(s) if len(s) else b"" for s in found], pa.binary()),
-            ],
-            ["n", "digest", "bits"],
-        )
+        yield pa.StructArray.from_arrays([pa.array([len(s) for s in found], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in found], pa.binary())], ["n", "digest"])
 
 
 def _prefixed(frequent: np.ndarray, counts: np.ndarray):
@@ -120,21 +104,12 @@ def _whole(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([shingles(t.as_py()).tobytes() for t in batch], pa.binary())
 
 
-@F.arrow_udf(T.BooleanType())
-def _linked(one: pa.Array, other: pa.Array) -> pa.Array:
-    out = []
-    for a, b in zip(one, other, strict=True):
-        x, y = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64)
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pa.array(out, pa.bool_())
-
-
-def near_sizes(n: Column, m: Column) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+def _moves(tile: pa.Table) -> pa.Table:
+    """(a, b) of rows (root, set, asked): root ``a`` is connected with the smaller root ``b`` by a link in this tile."""
+    roots, root = np.unique(tile["root"].to_numpy(), return_inverse=True)
+    after = merged_parts([np.frombuffer(s.as_py(), dtype=np.uint64) for s in tile["set"]], root, tile["asked"].to_numpy(zero_copy_only=False))
+    a, b = np.unique(np.stack([root, after])[:, root != after], axis=1)
+    return pa.table({"a": roots[a], "b": roots[b]})
 
 
 def internal_id(id_: Column, text: Column) -> Column:
@@ -142,25 +117,6 @@ def internal_id(id_: Column, text: Column) -> Column:
     return F.coalesce(id_.cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(text), F.lit(1 << 61)))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the distinct (a, b) that link, checkpointed.
-
-    Bitmaps rule out most pairs that share little, and whole sets, made only for the rest, decide.  A
-    bitmap or set travels once for its own row and once for each pair that its row comes second in.
-    """
-    bits = lambda c: classes.select(F.col("c").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"of_{c}"))
-    some = pairs.join(bits("b"), "b").join(bits("a"), "a").where(near_sizes(F.col("n_a"), F.col("n_b"))).where(_may_link("of_a", "n_a", "of_b", "n_b"))
-    some = cut(some.select("a", "b"))
-    release(pairs.sparkSession)
-    wanted = some.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    sets = cut(texts.join(wanted, "c", "left_semi").dropDuplicates(["c", "_text"]).select("c", _whole("_text").alias("shingles")))
-    release(pairs.sparkSession)
-    whole = lambda c: sets.select(F.col("c").alias(c), F.col("shingles").alias(f"of_{c}"))
-    out = cut(some.join(whole("b"), "b").join(whole("a"), "a").where(_linked("of_a", "of_b")).select("a", "b").distinct())
-    release(pairs.sparkSession)
-    return out
-
-
 def _frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are often in prefixes, copies counted, and how often: ``MAX_FREQUENT`` at most."""
     none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -169,31 +125,91 @@ def _frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     often = cut(counted.where(F.col("k") > most))
     while not small(often.where(F.col("k") > most), MAX_FREQUENT):
         most *= 2
-    found = sorted((r["h"] % (1 << 64), r["k"]) for r in often.where(F.col("k") > most).collect())
-    return (np.array([h for h, _ in found], dtype=np.uint64), np.array([k for _, k in found], dtype=np.int64)) if found else none
+    found = often.where(F.col("k") > most).toArrow()
+    hashes, counts = found["h"].to_numpy().view(np.uint64), found["k"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
-def _blocks(classes: DataFrame, own: DataFrame) -> DataFrame:
-    """(h, c, n, leader): rows that share a column h of the product with others, and one of these for each h."""
+def _of_several(rows: DataFrame, key: str, value: str = "c") -> DataFrame:
+    """The rows whose ``key`` has more than one ``value``."""
+    ends = rows.groupBy(key).agg(F.min(value).alias("_least"), F.max(value).alias("_most")).where("_least < _most").select(dealt_anew(F.col(key)).alias("_key"))
+    return rows.withColumn("_key", dealt_anew(F.col(key))).join(ends, "_key", "left_semi").drop("_key")
+
+
+def _columns(classes: DataFrame, own: DataFrame) -> DataFrame:
+    """(c, slot, n, g): rows and the columns, each of one size class, in which others may link with them."""
     frequent = _frequent(own)
     release(own.sparkSession)
     prefixes = own.select(_prefixed(*frequent)("_text").alias("s")).where(F.size("s.prefix") > 0).groupBy("s.digest").agg(F.first("s.prefix").alias("prefix"))
-    rows = prefixes.join(classes.select("digest", "c", "n"), "digest").select("c", "n", F.explode("prefix").alias("h"))
-    # of a block's least and greatest row, one leads; a row alone is both
-    ends = rows.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
-    lead = ends.select(dealt_anew(F.col("h")).alias("g"), F.when(F.xxhash64("h") % 2 == 0, F.col("least")).otherwise(F.col("most")).alias("leader"))
-    return cut(rows.select(dealt_anew(F.col("h")).alias("g"), "c", "n").join(lead, "g").select(F.col("g").alias("h"), "c", "n", "leader"))
-
-
-def _unsettled(blocks: DataFrame, roots: DataFrame, met: DataFrame) -> DataFrame:
-    """Pairs of blocks that still hold several components: rows outside the largest with rows of any other."""
-    held = blocks.select("h", "c", "n").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    parts = held.groupBy("h", "root").agg(F.count("*").alias("k"))
-    several = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("k", "root")).alias("main")).where("parts > 1").select(dealt_anew(F.col("h")).alias("g"), "main")
-    open_ = cut(held.withColumn("g", dealt_anew(F.col("h"))).join(several, "g"))
-    minor = open_.where("root <> main").select("g", F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("root").alias("root1"))
-    pairs = open_.join(minor, "g").where((F.col("root") != F.col("root1")) & near_sizes(F.col("n"), F.col("n1")) & ((F.col("root") == F.col("main")) | (F.col("c1") < F.col("c"))))
-    return cut(pairs.select(F.least("c", "c1").alias("a"), F.greatest("c", "c1").alias("b")).distinct().join(met, ["a", "b"], "left_anti"))
+    rows = _of_several(prefixes.join(classes.select("digest", "c", "n"), "digest").select("c", "n", F.explode("prefix").alias("h")), "h")
+    size = F.least(F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_STEP))), F.lit(LAST_SIZE)).cast("int")
+    slots = _of_several(rows.withColumn("slot", F.explode(F.array(size, size + 1))).withColumn("g", F.xxhash64("h", "slot")).select("c", "slot", "n", "g"), "g")
+    slots = cut(slots)
+    release(own.sparkSession)
+    needed = F.floor(F.ceil(F.min("n") * PERCENT / 100) / PER_COLUMN) + 1
+    enough = slots.groupBy("c", "slot").agg(F.count("*").alias("k"), needed.alias("needed")).where("k >= needed").select("c", "slot")
+    return cut(_of_several(slots.join(enough, ["c", "slot"]), "g"))
+
+
+def _tiled(units: DataFrame, salt: int) -> DataFrame:
+    """(c, slot, tile) of ``units`` (c, slot, n, g)."""
+    each = stored(units.groupBy("c", "slot").agg(F.max("n").alias("n"), F.min(F.xxhash64(F.lit(salt), "g")).alias("m")))
+    tiles = max(1, -(-(each.agg(F.sum("n")).first()[0] or 0) // SHARED_TILE))
+    large = each.groupBy("m").agg(F.sum("n").alias("w")).where(F.col("w") > SHARED_TILE).select(dealt_anew(F.col("m")).alias("_m"), F.ceil(F.col("w") / CUT_TILE).alias("cuts"))
+    cut_by = F.xxhash64("m", F.pmod(F.xxhash64(F.lit(salt), "c"), F.col("cuts")))
+    tile = F.coalesce(cut_by, F.pmod(F.xxhash64(F.lit(1), "m"), F.lit(tiles)))
+    return stored(each.withColumn("_m", dealt_anew(F.col("m"))).join(large, "_m", "left").select("c", "slot", tile.alias("tile")))
+
+
+def _multiplied(dealt: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(a, b): roots that links in the tiles connect; ``dealt`` is (c, tile, asked)."""
+    at = dealt.join(sets, "c")
+    at = at.withColumn("root", F.col("c")) if roots is None else at.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    return stored(at.select("tile", "root", "set", "asked").groupBy("tile").applyInArrow(lambda t: _moves(t), "a long, b long"))
+
+
+def _rooted(units: DataFrame, roots: DataFrame) -> DataFrame:
+    return units.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+
+def _after(roots: DataFrame, moves: DataFrame) -> DataFrame:
+    return roots if moves.isEmpty() else rerooted(roots, moves.distinct())
+
+
+def _across(units: DataFrame, tiles: DataFrame, roots: DataFrame) -> DataFrame:
+    """(c, tile, asked): rows of the pairs of tiles that the columns in several tiles and components need."""
+    placed = _rooted(units.join(tiles, ["c", "slot"]), roots)
+    open_ = cut(_of_several(_of_several(placed, "g", "tile"), "g", "root").select("c", "g", "tile", "root"))
+    parts = open_.groupBy("g", "root").agg(F.count("*").alias("k"))
+    main = parts.groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main")).select(dealt_anew(F.col("g")).alias("_g"), "main")
+    asked = cut(open_.withColumn("_g", dealt_anew(F.col("g"))).join(main, "_g").select("c", "g", "tile", (F.col("root") != F.col("main")).alias("asked")))
+    # a column's tiles, not its rows, are paired
+    tile_of = asked.groupBy("g", "tile").agg(F.max("asked").alias("asks"))
+    asking, any_ = tile_of.where("asks").select("g", F.col("tile").alias("i")), tile_of.select("g", F.col("tile").alias("j"), "asks")
+    pairs = asking.join(any_, "g").where((F.col("i") < F.col("j")) | ((F.col("i") > F.col("j")) & ~F.col("asks")))
+    ways = pairs.select(dealt_anew(F.col("g")).alias("_g"), F.explode(F.array(F.struct(F.col("i").alias("tile"), F.xxhash64(F.least("i", "j"), F.greatest("i", "j")).alias("pair")), F.struct(F.col("j").alias("tile"), F.xxhash64(F.least("i", "j"), F.greatest("i", "j")).alias("pair")))).alias("x")).select("_g", "x.*")
+    sent = asked.withColumn("_g", dealt_anew(F.col("g"))).join(ways, ["_g", "tile"])
+    return sent.groupBy("c", F.col("pair").alias("tile")).agg(F.max("asked").alias("asked"))
+
+
+def _roots(columns: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of rows that link with any other."""
+    spark = columns.sparkSession
+    tiles = []
+    roots = None
+    for odd in (0, 1):
+        units = columns.where(F.pmod("slot", F.lit(2)) == odd)
+        if roots is not None:
+            units = _of_several(_rooted(units, roots), "g", "root").select("c", "slot", "n", "g")
+        tiles.append(_tiled(units, odd))
+        moves = _multiplied(tiles[-1].select("c", "tile", F.lit(True).alias("asked")), sets, roots)
+        # in the first pass a row is in one tile, so what its tile says is final
+        roots = _after(roots, moves) if roots is not None else stored(moves.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(moves.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+        release(spark)
+    across = stored(_across(columns, tiles[0].unionByName(tiles[1]), roots))
+    release(spark)
+    return roots if across.isEmpty() else _after(roots, _multiplied(across, sets, roots))
 
 
 def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,29 +217,27 @@ def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     ``component_id`` is the smallest id reachable over links, the row's own included.  Texts that are
     null or without words have no shingles and link with nothing.  Rows that share an id are one document: what they
-    link with is one component.  A component without any id has null.  No other column is read.
+    link with is one component.  A component without any id has null; rows without an id are told apart by text.
+    Repeated rows each get the same result.  Texts may be of any length.  An empty table gives no rows.  No other
+    column is read, so none can clash.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("_id"), internal_id(F.col(id_col), text).alias("c"), text.cast("binary").alias("_text"))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    own = docs.select(F.col(quoted(id_col)).alias("_id"), internal_id(F.col(quoted(id_col)), text).alias("c"), text.cast("binary").alias("_text"))
     made = cut(own.select("_id", "c", _sets("_text").alias("s")).select("_id", "c", "s.*"))
-    classes = cut(made.where("n > 0").groupBy("digest").agg(F.min("c").alias("c"), F.min("_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    hashed = cut(made.select("_id", "n", "digest"))
-    del made
+    classes = cut(made.where("n > 0").groupBy("digest").agg(F.min("c").alias("c"), F.min("_id").alias("least"), F.first("n").alias("n")))
+    columns = _columns(classes, own)
     release(spark)
-    blocks = _blocks(classes, own)
-    release(spark)
-
-    texts = own.select("c", "_text")
-    first = cut(blocks.where("c <> leader").select(F.least("c", "leader").alias("a"), F.greatest("c", "leader").alias("b")).distinct())
-    roots = connected(verified(first, classes, texts))
-    rest = _unsettled(blocks, roots, first)
-    del blocks, first
+    wanted = columns.select("c").distinct()
+    texts = own.join(wanted, "c", "left_semi").groupBy("c", F.xxhash64("_text").alias("_key")).agg(F.first("_text").alias("_text"))
+    sets = stored(texts.select("c", _whole("_text").alias("set")))
     release(spark)
-    more = verified(rest, classes, texts)
-    if not more.isEmpty():
-        roots = rerooted(roots, more)
+    roots = _roots(columns, sets)
+    # an id with several texts: copies of one may be a class by another id
+    same = made.where("n > 0").join(classes.select("digest", F.col("c").alias("a")), "digest").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    same = stored(same.join(classes.select(F.col("c").alias("b")), "b", "left_semi").select("a", "b"))
+    roots = _after(roots, same)
 
     rooted = classes.select("digest", "c", "least").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")
-    return hashed.join(named, "digest", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    return made.join(named, "digest", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
