@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import cut, dealt_anew, quoted, release, small, stored
+from .common import cut, dealt_anew, discard, quoted, release, small, stored
 from .components import rerooted
 from .hashing import pieces, sequence_hashes, word_hashes
 from .product import PERCENT, least_of, merged_parts
@@ -78,20 +78,25 @@ def _sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def _prefixed(frequent: np.ndarray, counts: np.ndarray):
     """Digest and prefix of a set, in the order of count where frequent and then of hash."""
+    bits = np.uint64((1 << 20) - 1)
 
     @F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("prefix", _SIGNED)]))
     def first_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        maybe = np.zeros(1 << 20, dtype=bool)  # most hashes are told apart from all frequent ones by their last bits
+        maybe[frequent & bits] = True
         for batch in pieces(texts):
             digests, prefixes = [], []
             for t in batch:
                 s = shingles(t.as_py())
                 digests.append(xxh3_128_digest(s.tobytes()))
                 p = prefix_length(len(s))
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    rank = np.where(frequent[at] == s, counts[at], 0)
+                near = np.flatnonzero(maybe[s & bits]) if len(frequent) else ()
+                if len(near) and near[0] < p:
+                    at = np.minimum(np.searchsorted(frequent, s[near]), len(frequent) - 1)
+                    rank = np.zeros(len(s), dtype=np.int64)
+                    rank[near] = np.where(frequent[at] == s[near], counts[at], 0)
                     if rank[:p].any():
-                        s = s[np.lexsort((s, rank))]
+                        s = s[np.argsort(rank, kind="stable")]
                 prefixes.append(s[:p].copy())  # a view would keep the whole set
             yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), _lists(prefixes)], ["digest", "prefix"])
 
@@ -139,17 +144,27 @@ def _of_several(rows: DataFrame, key: str, value: str = "c") -> DataFrame:
 
 def _columns(classes: DataFrame, own: DataFrame) -> DataFrame:
     """(c, slot, n, g): rows and the columns, each of one size class, in which others may link with them."""
+    spark = own.sparkSession
     frequent = _frequent(own)
-    release(own.sparkSession)
+    release(spark)
     prefixes = own.select(_prefixed(*frequent)("_text").alias("s")).where(F.size("s.prefix") > 0).groupBy("s.digest").agg(F.first("s.prefix").alias("prefix"))
-    rows = _of_several(prefixes.join(classes.select("digest", "c", "n"), "digest").select("c", "n", F.explode("prefix").alias("h")), "h")
+    prefixes = stored(prefixes.join(classes.select("digest", "c"), "digest").select("c", "prefix"))
+    release(spark)
+    rows = prefixes.select("c", F.explode("prefix").alias("h"))
+    met = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(dealt_anew(F.col("h")).alias("_key"))
+    shared = stored(rows.withColumn("_key", dealt_anew(F.col("h"))).join(met, "_key", "left_semi").select("c", "h"))
+    discard(prefixes)
+    release(spark)
     size = F.least(F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_STEP))), F.lit(LAST_SIZE)).cast("int")
-    slots = _of_several(rows.withColumn("slot", F.explode(F.array(size, size + 1))).withColumn("g", F.xxhash64("h", "slot")).select("c", "slot", "n", "g"), "g")
-    slots = cut(slots)
-    release(own.sparkSession)
+    sized = shared.join(classes.select("c", "n"), "c").withColumn("slot", F.explode(F.array(size, size + 1)))
+    slots = stored(_of_several(sized.select("c", "slot", "n", F.xxhash64("h", "slot").alias("g")), "g"))
+    discard(shared)
+    release(spark)
     needed = F.floor(F.ceil(F.min("n") * PERCENT / 100) / PER_COLUMN) + 1
     enough = slots.groupBy("c", "slot").agg(F.count("*").alias("k"), needed.alias("needed")).where("k >= needed").select("c", "slot")
-    return cut(_of_several(slots.join(enough, ["c", "slot"]), "g"))
+    left = stored(_of_several(slots.join(enough, ["c", "slot"]), "g"))
+    discard(slots)
+    return left
 
 
 def _tiled(units: DataFrame, salt: int) -> DataFrame:
