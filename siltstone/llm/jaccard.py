@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import cut, dealt_anew, discard, quoted, release, small, stored
+from .common import dealt_anew, discard, quoted, release, small, stored
 from .components import rerooted
 from .hashing import pieces, sequence_hashes, word_hashes
 from .product import PERCENT, least_of, merged_parts
@@ -69,25 +69,19 @@ def _lists(rows: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType())]))
-def _sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in pieces(texts):
-        found = [shingles(t.as_py() or b"") for t in batch]
-        yield pa.StructArray.from_arrays([pa.array([len(s) for s in found], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in found], pa.binary())], ["n", "digest"])
-
-
 def _prefixed(frequent: np.ndarray, counts: np.ndarray):
-    """Digest and prefix of a set, in the order of count where frequent and then of hash."""
+    """Size, digest and prefix of a set, in the order of count where frequent and then of hash."""
     bits = np.uint64((1 << 20) - 1)
 
-    @F.arrow_udf(T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("prefix", _SIGNED)]))
+    @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("prefix", _SIGNED)]))
     def first_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         maybe = np.zeros(1 << 20, dtype=bool)  # most hashes are told apart from all frequent ones by their last bits
         maybe[frequent & bits] = True
         for batch in pieces(texts):
-            digests, prefixes = [], []
+            sizes, digests, prefixes = [], [], []
             for t in batch:
                 s = shingles(t.as_py())
+                sizes.append(len(s))
                 digests.append(xxh3_128_digest(s.tobytes()))
                 p = prefix_length(len(s))
                 near = np.flatnonzero(maybe[s & bits]) if len(frequent) else ()
@@ -98,7 +92,7 @@ def _prefixed(frequent: np.ndarray, counts: np.ndarray):
                     if rank[:p].any():
                         s = s[np.argsort(rank, kind="stable")]
                 prefixes.append(s[:p].copy())  # a view would keep the whole set
-            yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), _lists(prefixes)], ["digest", "prefix"])
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes)], ["n", "digest", "prefix"])
 
     return first_of
 
@@ -122,15 +116,18 @@ def internal_id(id_: Column, text: Column) -> Column:
     return F.coalesce(id_.cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(text), F.lit(1 << 61)))
 
 
-def _frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+_NONE = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+
+def _frequent(prefixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are often in prefixes, copies counted, and how often: ``MAX_FREQUENT`` at most."""
-    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    counted = own.select(F.explode(_prefixed(*none)("_text")["prefix"]).alias("h")).groupBy("h").agg(F.count("*").alias("k"))
+    counted = prefixes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("k"))
     most = FREQUENT
-    often = cut(counted.where(F.col("k") > most))
+    often = stored(counted.where(F.col("k") > most))
     while not small(often.where(F.col("k") > most), MAX_FREQUENT):
         most *= 2
     found = often.where(F.col("k") > most).toArrow()
+    discard(often)
     hashes, counts = found["h"].to_numpy().view(np.uint64), found["k"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
@@ -142,12 +139,11 @@ def _of_several(rows: DataFrame, key: str, value: str = "c") -> DataFrame:
     return rows.withColumn("_key", dealt_anew(F.col(key))).join(ends, "_key", "left_semi").drop("_key")
 
 
-def _columns(classes: DataFrame, own: DataFrame) -> DataFrame:
+def _columns(classes: DataFrame, own: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(c, slot, n, g): rows and the columns, each of one size class, in which others may link with them."""
     spark = own.sparkSession
-    frequent = _frequent(own)
-    release(spark)
-    prefixes = own.select(_prefixed(*frequent)("_text").alias("s")).where(F.size("s.prefix") > 0).groupBy("s.digest").agg(F.first("s.prefix").alias("prefix"))
+    # no filter by the prefix: it would be computed once more for that
+    prefixes = own.select(_prefixed(*frequent)("_text").alias("s")).groupBy("s.digest").agg(F.first("s.prefix").alias("prefix"))
     prefixes = stored(prefixes.join(classes.select("digest", "c"), "digest").select("c", "prefix"))
     release(spark)
     rows = prefixes.select("c", F.explode("prefix").alias("h"))
@@ -168,13 +164,13 @@ def _columns(classes: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def _tiled(units: DataFrame, salt: int) -> DataFrame:
-    """(c, slot, tile) of ``units`` (c, slot, n, g)."""
+    """(c, slot, family, tile) of ``units`` (c, slot, n, g): rows of one least column are a family, or several if it is cut."""
     each = stored(units.groupBy("c", "slot").agg(F.max("n").alias("n"), F.min(F.xxhash64(F.lit(salt), "g")).alias("m")))
     tiles = max(1, -(-(each.agg(F.sum("n")).first()[0] or 0) // SHARED_TILE))
     large = each.groupBy("m").agg(F.sum("n").alias("w")).where(F.col("w") > SHARED_TILE).select(dealt_anew(F.col("m")).alias("_m"), F.ceil(F.col("w") / CUT_TILE).alias("cuts"))
     cut_by = F.xxhash64("m", F.pmod(F.xxhash64(F.lit(salt), "c"), F.col("cuts")))
     tile = F.coalesce(cut_by, F.pmod(F.xxhash64(F.lit(1), "m"), F.lit(tiles)))
-    return stored(each.withColumn("_m", dealt_anew(F.col("m"))).join(large, "_m", "left").select("c", "slot", tile.alias("tile")))
+    return stored(each.withColumn("_m", dealt_anew(F.col("m"))).join(large, "_m", "left").select("c", "slot", F.coalesce(cut_by, "m").alias("family"), tile.alias("tile")))
 
 
 def _multiplied(dealt: DataFrame, sets: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -193,19 +189,30 @@ def _after(roots: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def _across(units: DataFrame, tiles: DataFrame, roots: DataFrame) -> DataFrame:
-    """(c, tile, asked): rows of the pairs of tiles that the columns in several tiles and components need."""
-    placed = _rooted(units.join(tiles, ["c", "slot"]), roots)
-    open_ = cut(_of_several(_of_several(placed, "g", "tile"), "g", "root").select("c", "g", "tile", "root"))
+    """(c, tile, asked): rows of the pairs of tiles that the columns in several tiles and components need.
+
+    Small pairs share a tile of their own, in which a row that several of them need is once.
+    """
+    placed = stored(_rooted(units.join(tiles, ["c", "slot"]), roots).select("c", "n", "g", "family", "tile", "root"))
+    ends = [f(x).alias(f"{name}_{x}") for x in ("tile", "root") for name, f in (("least", F.min), ("most", F.max))]
+    several = placed.groupBy("g").agg(*ends).where("least_tile < most_tile and least_root < most_root").select(dealt_anew(F.col("g")).alias("_g"))
+    open_ = stored(placed.withColumn("_g", dealt_anew(F.col("g"))).join(several, "_g", "left_semi").drop("_g"))
+    discard(placed)
     parts = open_.groupBy("g", "root").agg(F.count("*").alias("k"))
     main = parts.groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main")).select(dealt_anew(F.col("g")).alias("_g"), "main")
-    asked = cut(open_.withColumn("_g", dealt_anew(F.col("g"))).join(main, "_g").select("c", "g", "tile", (F.col("root") != F.col("main")).alias("asked")))
-    # a column's tiles, not its rows, are paired
-    tile_of = asked.groupBy("g", "tile").agg(F.max("asked").alias("asks"))
-    asking, any_ = tile_of.where("asks").select("g", F.col("tile").alias("i")), tile_of.select("g", F.col("tile").alias("j"), "asks")
-    pairs = asking.join(any_, "g").where((F.col("i") < F.col("j")) | ((F.col("i") > F.col("j")) & ~F.col("asks")))
-    ways = pairs.select(dealt_anew(F.col("g")).alias("_g"), F.explode(F.array(F.struct(F.col("i").alias("tile"), F.xxhash64(F.least("i", "j"), F.greatest("i", "j")).alias("pair")), F.struct(F.col("j").alias("tile"), F.xxhash64(F.least("i", "j"), F.greatest("i", "j")).alias("pair")))).alias("x")).select("_g", "x.*")
-    sent = asked.withColumn("_g", dealt_anew(F.col("g"))).join(ways, ["_g", "tile"])
-    return sent.groupBy("c", F.col("pair").alias("tile")).agg(F.max("asked").alias("asked"))
+    asked = stored(open_.withColumn("_g", dealt_anew(F.col("g"))).join(main, "_g").select("c", "n", "g", "family", "tile", (F.col("root") != F.col("main")).alias("asked")))
+    # a column's families meet its tiles, so that no row is there once for each column and tile
+    families = stored(asked.groupBy("g", "family", "tile").agg(F.max("asked").alias("asks")))
+    others = families.groupBy("g", F.col("tile").alias("other")).agg(F.max("asks").alias("other_asks"))
+    met = families.join(others, "g").where((F.col("tile") != F.col("other")) & (F.col("asks") | F.col("other_asks")))
+    ways = met.select(F.col("family").alias("_f"), "tile", F.xxhash64(F.least("tile", "other"), F.greatest("tile", "other")).alias("pair")).distinct()
+    rows = asked.groupBy("c", "family", "tile").agg(F.max("asked").alias("asked"), F.max("n").alias("n"))
+    sent = stored(rows.withColumn("_f", F.col("family")).join(ways, ["_f", "tile"]).groupBy("c", "pair").agg(F.max("asked").alias("asked"), F.max("n").alias("n")))
+    discard(families)
+    tasks = max(1, -(-(sent.agg(F.sum("n")).first()[0] or 0) // SHARED_TILE))
+    out = stored(sent.groupBy("c", F.pmod("pair", F.lit(tasks)).alias("tile")).agg(F.max("asked").alias("asked")))
+    discard(open_, asked, sent)
+    return out
 
 
 def _roots(columns: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,7 +229,7 @@ def _roots(columns: DataFrame, sets: DataFrame) -> DataFrame:
         # in the first pass a row is in one tile, so what its tile says is final
         roots = _after(roots, moves) if roots is not None else stored(moves.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(moves.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
         release(spark)
-    across = stored(_across(columns, tiles[0].unionByName(tiles[1]), roots))
+    across = _across(columns, tiles[0].unionByName(tiles[1]), roots)
     release(spark)
     return roots if across.isEmpty() else _after(roots, _multiplied(across, sets, roots))
 
@@ -239,9 +246,13 @@ def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     own = docs.select(F.col(quoted(id_col)).alias("_id"), internal_id(F.col(quoted(id_col)), text).alias("c"), text.cast("binary").alias("_text"))
-    made = cut(own.select("_id", "c", _sets("_text").alias("s")).select("_id", "c", "s.*"))
-    classes = cut(made.where("n > 0").groupBy("digest").agg(F.min("c").alias("c"), F.min("_id").alias("least"), F.first("n").alias("n")))
-    columns = _columns(classes, own)
+    by_hash = stored(own.select("_id", "c", _prefixed(*_NONE)("_text").alias("s")).select("_id", "c", "s.*"))
+    made = stored(by_hash.drop("prefix"))
+    frequent = _frequent(by_hash)
+    discard(by_hash)
+    classes = stored(made.where("n > 0").groupBy("digest").agg(F.min("c").alias("c"), F.min("_id").alias("least"), F.first("n").alias("n")))
+    release(spark)
+    columns = _columns(classes, own, frequent)
     release(spark)
     wanted = columns.select("c").distinct()
     texts = own.join(wanted, "c", "left_semi").groupBy("c", F.xxhash64("_text").alias("_key")).agg(F.first("_text").alias("_text"))
