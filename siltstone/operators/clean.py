@@ -38,8 +38,12 @@ def preserved(node: Node, labels: Iterable[str]) -> bool:
 
 def cleaned(html: str | None, config: dict | None = None, schema: dict | None = None) -> Node:
     """The tree of a page as a site's ``dom_clean_config`` wants it."""
+    return clean_tree(parse(html), config, schema)
+
+
+def clean_tree(root: Node, config: dict | None = None, schema: dict | None = None) -> Node:
+    """``cleaned`` of a tree, which it changes; the root may be another afterwards."""
     config, labels = config or {}, labels_of(schema)
-    root = parse(html)
     for n in root.find(*TECHNICAL):
         n.drop()
     if config.get("content_container") and (found := select(root, config["content_container"])):
@@ -78,7 +82,10 @@ def clean_html(html: str | None, config: dict | None = None, schema: dict | None
 
 def metadata(html: str | None) -> dict:
     """Title (or first h1), description, and a map of og: and twitter: properties."""
-    root = parse(html)
+    return metadata_of(parse(html))
+
+
+def metadata_of(root: Node) -> dict:
     title, h1 = root.first("title"), root.first("h1")
     named, social = {}, {}
     for m in root.find("meta"):

@@ -48,8 +48,8 @@ def own_link(href: str, url: str) -> bool:
     return any(s in low for s in SHARES) or any(p in low for p in host.split(".") if len(p) > 3 and p not in COMMON)
 
 
-def extract(root: Node, url: str = "", aliases: dict[str, str] | None = None) -> dict:
-    """(fields, lists, faq, said) of a page."""
+def extract(root: Node, url: str = "", aliases: dict[str, str] | None = None, found: list[dict] | None = None) -> dict:
+    """(fields, lists, faq, said) of a page; ``found`` are its layouts, if known."""
     facts, faq = Facts(), []
     for script in root.find("script"):
         if script.get("type") == "application/ld+json":
@@ -68,7 +68,7 @@ def extract(root: Node, url: str = "", aliases: dict[str, str] | None = None) ->
     _identity(root, facts)
     _anchors(root, facts, url)
     _images(root, facts)
-    for layout in layouts(root):
+    for layout in layouts(root) if found is None else found:
         for pair in layout["pairs"]:
             field = field_for(pair["k"], aliases)
             value = pair["v_list"] or " ".join((pair["v"] or "").split())

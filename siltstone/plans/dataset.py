@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_empty, strip
+from ..functions.text import is_empty, quoted, strip
 
 
 def key_of(keys: list[str]) -> Column:
     """Keys compare without case and surrounding blanks; two empty ones are equal."""
-    return F.array(*[F.lower(strip(F.coalesce(F.col(k).cast("string"), F.lit("")))) for k in keys])
+    return F.array(*[F.lower(strip(F.coalesce(F.col(quoted(k)).cast("string"), F.lit("")))) for k in keys])
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], *, seq: str = "seq", created: str = "extraction_date", changed: str = "last_updated", now: str) -> DataFrame:
@@ -22,18 +22,18 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], *, seq: str = "seq
     """
     own = [k for k in keys if k in old.columns and k in new.columns]
     values = [c for c in old.columns if c not in (seq, created, changed)]
-    rank = lambda df, batch: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in values], F.col(seq).alias("_seq"), F.lit(batch).alias("_batch"), *[F.col(c) if c in df.columns and batch == 0 else F.lit(now).alias(c) for c in (created, changed)])
+    rank = lambda df, batch: df.select(*[F.col(quoted(c)) if c in df.columns else F.lit(None).cast("string").alias(c) for c in values], F.col(seq).alias("_seq"), F.lit(batch).alias("_batch"), *[F.col(c) if c in df.columns and batch == 0 else F.lit(now).alias(c) for c in (created, changed)])
     both = rank(old, 0).unionByName(rank(new, 1))
     both = both.withColumn("_key", key_of(own) if own else F.array(F.col("_batch").cast("string"), F.col("_seq").cast("string")))
     place = F.struct("_batch", "_seq")
     merged = both.groupBy("_key").agg(
-        F.max_by(F.struct(*values, F.col(changed).alias("_changed")), place).alias("last"),
+        F.max_by(F.struct(*map(quoted, values), F.col(changed).alias("_changed")), place).alias("last"),
         F.min_by(F.struct(F.col(created).alias("_created"), F.col("_batch").alias("_from")), place).alias("first"),
         F.min(place).alias("_place"),
         F.max("_batch").alias("_touched"),
     )
     return merged.select(
-        *[F.col(f"last.{c}").alias(c) for c in values],
+        *[F.col(f"last.{quoted(c)}").alias(c) for c in values],
         F.col("_place._seq").alias(seq),
         F.col("first._created").alias(created),
         F.col("last._changed").alias(changed),

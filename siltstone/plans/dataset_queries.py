@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.text import lookup_keys, merged_list
 from . import dataset, mapping
@@ -84,12 +83,6 @@ def upsert_dataset(spark, sf_dir):
     return dataset.upserted(old, new, ["c_name"], now="2021")
 
 
-@query("""select p_partkey, greatest(0, least(100, 0.3 * p_size * 2 + 0.3 * p_size + 0.2 * 100 + 0.2 * 80 - 15 * (p_size % 3) - (p_size % 4) * 10.0 / 3)) as score from part""")
-def quality_score(spark, sf_dir):
-    n = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", dataset.quality_score(n * 2, n, F.lit(100), F.lit(80), n % 3, n % 4).alias("score"))
-
-
 _OUTCOME = "case when event_id % 7 = 0 then 'failed' when event_id % 101 = 0 then 'cancelled' else 'success' end"
 
 
@@ -131,18 +124,3 @@ select l_orderkey, round(cast(max(score) as double), 4) as score from s group by
 def primary_entity(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("idx"), F.concat("l_returnflag", F.when(F.col("l_linestatus") == "O", " company").otherwise(" contact")).alias("entity_type"), (F.col("l_linenumber") % 2 + 1).alias("n_records"), F.col("l_quantity").cast("bigint").alias("n_attributes"))
     return mapping.primary_entity(e, keys=["l_orderkey"], words=["company", "brand"]).select("l_orderkey", F.round("score", 4).alias("score"))
-
-
-@query("""select conv_id, string_agg(text, chr(10) order by turn) as merged, count(*) as parts from conversations group by conv_id""")
-def merge_chunk_results(spark, sf_dir):
-    """Pieces of a page's result joined in order."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("p"))
-    return c.select("conv_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("merged"), F.size("p").cast("long").alias("parts"))
-
-
-@query("""select outcome, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (), 4) as share from (select case when c_acctbal < 0 then 'Missing on Page' when c_acctbal < 3000 then 'Likely Missed' when c_acctbal < 6000 then 'Possible Hallucination' else 'Extracted Successfully' end as outcome from customer) group by outcome""")
-def field_statuses(spark, sf_dir):
-    b = F.col("c_acctbal")
-    c = table(spark, sf_dir, "customer").select(F.when(b < 0, "Missing on Page").when(b < 3000, "Likely Missed").when(b < 6000, "Possible Hallucination").otherwise("Extracted Successfully").alias("outcome"))
-    counted = c.groupBy("outcome").agg(F.count("*").alias("n"))
-    return counted.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(W.partitionBy()), 4))

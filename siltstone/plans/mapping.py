@@ -73,9 +73,11 @@ class Aliases:
         return best if best[1] >= LEAST else (None, 0.0, "No Match")
 
 
-def mapped(records: DataFrame, columns: list[str], aliases: Aliases, *, keys: list[str], mergeable: dict[str, str] | None = None, overflow: str | None = None) -> DataFrame:
+def mapped(records: DataFrame, columns: list[str], aliases: Aliases, *, keys: list[str], mergeable: dict[str, str] | None = None, overflow: str | None = None, tell: bool = False) -> DataFrame:
     """``keys`` and every column of the dataset as text, with ``coverage`` and ``paths``.
 
+    With ``tell`` also ``_winners``, the fields whose values stand in a column, and for each field whether it is filled, as ``_filled_`` and its name.
+
     Of fields that compete for a column the one with the higher confidence wins where it is not empty;
     of equals a minimum or maximum, then the first.  Fields without a column go to ``overflow`` as JSON.
     """
@@ -83,9 +85,12 @@ def mapped(records: DataFrame, columns: list[str], aliases: Aliases, *, keys: li
     fields = [f for f in records.columns if f not in keys]
     homes = {f: aliases.column_for(f, columns) for f in fields}
     out: dict[str, Column] = {}
+    winners: list[Column] = []
     for c in columns:
         rivals = sorted((f for f in fields if homes[f][0] == c), key=lambda f: (-homes[f][1], not f.endswith(("_min", "_max")), fields.index(f)))
         values = [F.when(~is_empty(F.col(f)), F.col(f).cast("string")) for f in rivals]
+        if rivals:
+            winners.append(F.coalesce(*[F.when(~is_empty(F.col(f)), F.lit(f)) for f in rivals]))
         if c in mergeable and len(values) > 1:
             merged = values[0]
             for v in values[1:]:
@@ -100,7 +105,8 @@ def mapped(records: DataFrame, columns: list[str], aliases: Aliases, *, keys: li
             out[overflow] = F.when(F.size(pairs) > 0, F.to_json(F.map_from_entries(pairs))).otherwise(out[overflow])
     filled = sum((F.when(v != "", 1).otherwise(0) for v in out.values()), F.lit(0))
     paths = F.array_compact(F.array(*[F.when(~is_empty(F.col(f)), F.lit(f"{f} -> {h[2]} -> {h[0]} ({h[1]:.0%})")) for f, h in homes.items() if h[0]]))
-    return records.select(*keys, *[v.alias(c) for c, v in out.items()], F.format_string("%.2f%%", filled / F.lit(float(len(columns))) * 100).alias("coverage"), paths.alias("paths"))
+    told = [F.array_compact(F.array(*winners) if winners else F.array().cast("array<string>")).alias("_winners"), *[(~is_empty(F.col(f))).alias(f"_filled_{f}") for f in fields]] if tell else []
+    return records.select(*keys, *[v.alias(c) for c, v in out.items()], F.format_string("%.2f%%", filled / F.lit(float(len(columns))) * 100).alias("coverage"), paths.alias("paths"), *told)
 
 
 def first_wins(pairs: DataFrame, columns: dict[str, str], *, keys: list[str]) -> DataFrame:

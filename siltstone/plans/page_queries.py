@@ -7,8 +7,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import contact
 from ..sources import sites
-from .pages import blocks_of, chunked, facts_of, pages_with
-from .registry import query, table
+from .pages import blocks_of, chunked, exploded, facts_of, pages_with
+from .registry import query, spread, table
 
 _DOMAIN = "regexp_replace(lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)), '^www\\.', '')"
 _SITES = "(values ('example.com', 'com', 10, 0), ('example.net', 'net', 5, 1), ('blog.example.org', 'blog', 20, 2), ('example.org', 'org', 5, 3)) s(domain, name, priority, ord)"
@@ -16,8 +16,12 @@ SITES = [("example.com", "com", 10), ("example.net", "net", 5), ("blog.example.o
 CONFIG = {"removable_selectors": ["nav", "footer", "aside", "header", ".ad", "script", "style"], "ignored_classes": ["ad", "ads", "cookie"], "ignored_ids": ["footer"]}
 
 
-def pages(spark, sf_dir):
-    return pages_with(table(spark, sf_dir, "pages"), config=CONFIG)
+def html_of(spark, sf_dir):
+    return spread(table(spark, sf_dir, "pages"))
+
+
+def pages(spark, sf_dir, *want):
+    return pages_with(html_of(spark, sf_dir), config=CONFIG, want=want)
 
 
 @query(f"""
@@ -47,60 +51,60 @@ def page_overview(spark, sf_dir):
 
 @query("select page_id, replace(trim(regexp_extract(html, '<title>([^<]*)', 1)), '&amp;', '&') as title from pages")
 def page_metadata(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.col("page.title").alias("title"))
+    return pages(spark, sf_dir, "title").select("page_id", F.col("page.title").alias("title"))
 
 
 @query()
 def clean_html(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.length("page.cleaned").cast("long").alias("n_chars"), F.sha2("page.cleaned", 256).alias("sha256"), "page.error")
+    return pages(spark, sf_dir, "cleaned").select("page_id", F.length("page.cleaned").cast("long").alias("n_chars"), F.sha2("page.cleaned", 256).alias("sha256"), "page.error")
 
 
 @query()
 def prune_dom(spark, sf_dir):
-    p = pages(spark, sf_dir)
+    p = pages(spark, sf_dir, "kept", "removed", "contact_lost", "filtered", "visible")
     raw, left = F.length("html"), F.length("page.filtered")
     return p.select("page_id", "page.kept", "page.removed", "page.contact_lost", F.round((raw - left) / raw * 100, 1).alias("reduction"), F.greatest(F.floor(left / 4), F.floor(F.length("page.visible") / 3)).alias("tokens"))
 
 
 @query()
 def dom_blocks(spark, sf_dir):
-    return blocks_of(pages(spark, sf_dir)).select("page_id", "idx", "type", "level", "text", F.array_join("items", " | ").alias("items"))
+    return blocks_of(pages(spark, sf_dir, "blocks")).select("page_id", "idx", "type", "level", "text", F.array_join("items", " | ").alias("items"))
 
 
 @query("select page_id, len(regexp_extract_all(html, '<h1')) as headings from pages")
 def dom_heading_counts(spark, sf_dir):
-    p = pages(spark, sf_dir)
+    p = pages(spark, sf_dir, "blocks")
     return p.select("page_id", F.size(F.filter("page.blocks", lambda b: b["type"] == "heading")).cast("long").alias("headings"))
 
 
 @query()
 def page_types(spark, sf_dir):
-    p = pages(spark, sf_dir)
+    p = pages(spark, sf_dir, "features", "page_type", "confidence")
     return p.select("page_id", "page.page_type", "page.confidence", F.to_json("page.features").alias("features"))
 
 
 @query()
 def layouts(spark, sf_dir):
-    p = pages(spark, sf_dir).select("page_id", F.posexplode("page.layouts").alias("idx", "l"))
+    p = exploded(pages(spark, sf_dir, "layouts"), ["page_id"], "page.layouts", "idx", "l")
     return p.select("page_id", "idx", "l.type", "l.tag", F.size("l.pairs").cast("long").alias("pairs"))
 
 
 @query()
 def layout_coverage(spark, sf_dir):
     """How many layouts of each type state a pair, over all pages."""
-    p = pages(spark, sf_dir).select(F.explode("page.layouts").alias("l"))
+    p = exploded(pages(spark, sf_dir, "layouts"), [], "page.layouts", "idx", "l")
     return p.groupBy("l.type").agg(F.count("*").alias("layouts"), F.count_if(F.size("l.pairs") > 0).alias("solved"), F.round(F.avg((F.size("l.pairs") > 0).cast("int")) * 100, 2).alias("percent"))
 
 
 @query()
 def extract_facts(spark, sf_dir):
-    return facts_of(pages(spark, sf_dir))
+    return facts_of(pages(spark, sf_dir, "said"))
 
 
 @query()
 def first_facts(spark, sf_dir):
     """The first value that a page states for each field."""
-    said = facts_of(pages_with(table(spark, sf_dir, "pages"), config=CONFIG, raw=True))
+    said = facts_of(pages_with(html_of(spark, sf_dir), config=CONFIG, raw=True, want=["said"]))
     return said.groupBy("page_id", "field").agg(F.min_by("value", "seq").alias("value"))
 
 
@@ -112,9 +116,12 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(hrefs).alias("idx", "href"))
 
 
-@query()
+@query(f"""with l as (select page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) as href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1), 1) - 1 as idx from pages),
+k as (select *, lower(href) as low, {_DOMAIN} as own, {_DOMAIN.replace("url", "href")} as host from l)
+select page_id, idx, href, case when starts_with(low, 'mailto:') then 'email' when starts_with(low, 'tel:') then 'phone' when regexp_matches(low, 'wa\\.me|whatsapp') then 'whatsapp' when contains(low, 'facebook') then 'facebook' when contains(low, 'instagram') then 'instagram'
+ when contains(low, 'linkedin') then 'linkedin' when contains(low, 'twitter') then 'twitter' when contains(low, 'youtube') then 'youtube' when starts_with(low, 'http') and own <> host then 'external' else 'internal' end as kind from k""")
 def classified_links(spark, sf_dir):
-    p = pages_with(table(spark, sf_dir, "pages")).select("page_id", "url", F.posexplode("page.links").alias("idx", "a"))
+    p = exploded(pages_with(html_of(spark, sf_dir), want=["links"]), ["page_id", "url"], "page.links", "idx", "a")
     low = F.lower("a.href")
     kind = F.when(low.startswith("mailto:"), "email").when(low.startswith("tel:"), "phone").when(low.rlike("wa\\.me|whatsapp"), "whatsapp")
     for service in ("facebook", "instagram", "linkedin", "twitter", "youtube"):
@@ -124,13 +131,13 @@ def classified_links(spark, sf_dir):
 
 @query()
 def chunk_pages(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(chunked(F.col("html"), 500)).alias("idx", "c"))
+    p = exploded(html_of(spark, sf_dir).select("page_id", chunked(F.col("html"), 500).alias("chunks")), ["page_id"], "chunks", "idx", "c")
     return p.select("page_id", "idx", "c.chunk_type", F.array_join("c.heading_path", " > ").alias("path"), "c.n_tokens")
 
 
 @query()
 def chunk_stats(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(chunked(F.col("html"), 500)).alias("c")).withColumn("n", F.length("c.html"))
+    p = exploded(html_of(spark, sf_dir).select("page_id", chunked(F.col("html"), 500).alias("chunks")), ["page_id"], "chunks", "idx", "c").withColumn("n", F.length("c.html"))
     return p.groupBy("page_id").agg(F.count("*").alias("chunks"), F.sum("n").alias("chars"), F.floor(F.avg("n")).alias("mean"), F.max("n").alias("most"), F.min("n").alias("least"))
 
 
@@ -140,21 +147,6 @@ def char_window_chunks(spark, sf_dir):
     return d.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.length("text") / 1000) - 1)).alias("idx")).select("doc_id", "idx", F.substring("text", F.col("idx") * 1000 + 1, F.lit(1000)).alias("piece"))
 
 
-@query("""with b as (select doc_id, k, x, length(x) < 60 and not contains(x, '. ') as head from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as k from documents))
-select doc_id, k - 1 as idx, (case when head then 15 else 0 end) + (case when contains(lower(x), 'the') then 15 else 0 end) + (case when contains(lower(x), 'and') then 15 else 0 end) +
- 8 * coalesce(cast(lag(head and (contains(lower(x), 'the') or contains(lower(x), 'and'))) over w as int), 0) + 8 * coalesce(cast(lag(head and (contains(lower(x), 'the') or contains(lower(x), 'and')), 2) over w as int), 0) as score
-from b window w as (partition by doc_id order by k)""")
-def block_scores(spark, sf_dir):
-    """Lines as blocks: a base score, wanted words, and what a heading above lends; no cascade."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "x"))
-    head = (F.length("x") < 60) & ~F.col("x").contains(". ")
-    word = lambda w: F.lower("x").contains(w)
-    said = (head & (word("the") | word("and"))).cast("int")
-    w = W.partitionBy("doc_id").orderBy("idx")
-    own = F.when(head, 15).otherwise(0) + F.when(word("the"), 15).otherwise(0) + F.when(word("and"), 15).otherwise(0)
-    return d.withColumn("_said", said).select("doc_id", "idx", (own + 8 * F.coalesce(F.lag("_said").over(w), F.lit(0)) + 8 * F.coalesce(F.lag("_said", 2).over(w), F.lit(0))).cast("long").alias("score"))
-
-
 @query("""select conv_id, turn, answer from (select conv_id, turn, role, lead(text) over w as answer, lead(role) over w as next from conversations window w as (partition by conv_id order by turn)) where role = 'user' and next = 'assistant'""")
 def qa_pairs(spark, sf_dir):
     w = W.partitionBy("conv_id").orderBy("turn")

@@ -1,13 +1,13 @@
 """Pages as a DataFrame: one parse a page in one Arrow pass, and everything after it native.
 
-``parsed`` is the only place where documents are trees.  It returns a struct a page, of which a query
-that reads few fields still costs one parse; texts, blocks and facts are exploded and joined by Spark.
+``parsed`` is the only place where documents are trees.  It returns a struct a page with the fields that the
+caller wants, made from one tree in its three states; texts, blocks and facts are exploded and joined by Spark.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,47 +50,65 @@ PAGE = _struct(
 )
 
 
-def page_of(html: str | None, url: str, config: dict | None, schema: dict | None, profile: relevant.Profile | None, raw: bool) -> dict:
-    """Everything that one page gives; a page that can't be read gives its error and nothing else."""
+#: What of a page is made from the tree at which step: as it came (facts too, if ``raw``), cleaned, pruned.
+META, CLEANED = ("title", "description", "social"), ("cleaned", "features", "page_type", "confidence", "links")
+PRUNED, FACTS = ("kept", "removed", "contact_lost", "filtered", "visible", "blocks", "layouts"), ("fields", "lists", "faq", "said")
+
+
+def page_of(html: str | None, url: str, want: frozenset[str], config: dict | None, schema: dict | None, profile: relevant.Profile | None, raw: bool) -> dict:
+    """What is wanted of one page, from one parse; a page that can't be read gives its error and nothing else."""
     try:
-        meta = clean.metadata(html)
-        tree = clean.cleaned(html, config, schema)
-        cleaned = " ".join(tree.html().split())
-        features = clean.page_features(tree)
-        kind, confidence = clean.page_kind(features)
-        links = [{"href": a.get("href").strip(), "text": a.text()} for a in tree.find("a") if a.get("href")]
-        stats = relevant.prune(tree, profile)
-        source = parse(html) if raw else tree
-        facts = extract.extract(source, url, (schema or {}).get("aliases"))
-        return meta | stats | {
-            "error": None,
-            "social": json.dumps(meta["social"], ensure_ascii=False),
-            "cleaned": cleaned,
-            "filtered": " ".join(tree.html().split()),
-            "visible": tree.text(),
-            "features": features,
-            "page_type": kind,
-            "confidence": confidence,
-            "blocks": blocks.blocks(tree),
-            "layouts": blocks.layouts(tree),
-            "links": links,
-            **facts,
-        }
+        out, aliases = {"error": None}, (schema or {}).get("aliases")
+        tree = parse(html)
+        if want.intersection(META):
+            meta = clean.metadata_of(tree)
+            out |= meta | {"social": json.dumps(meta["social"], ensure_ascii=False)}
+        facts = want.intersection(FACTS)
+        if facts and raw:
+            out |= extract.extract(tree, url, aliases)
+        pruned = want.intersection(PRUNED) or facts and not raw
+        if not pruned and not want.intersection(CLEANED):
+            return out
+        tree = clean.clean_tree(tree, config, schema)
+        if "cleaned" in want:
+            out["cleaned"] = " ".join(tree.html().split())
+        if want.intersection(("features", "page_type", "confidence")):
+            out["features"] = clean.page_features(tree)
+            out["page_type"], out["confidence"] = clean.page_kind(out["features"])
+        if "links" in want:
+            out["links"] = [{"href": a.get("href").strip(), "text": a.text()} for a in tree.find("a") if a.get("href")]
+        if not pruned:
+            return out
+        out |= relevant.prune(tree, profile)
+        if "filtered" in want:
+            out["filtered"] = " ".join(tree.html().split())
+        if "visible" in want:
+            out["visible"] = tree.text()
+        if "blocks" in want:
+            out["blocks"] = blocks.blocks(tree)
+        found = blocks.layouts(tree) if "layouts" in want or facts and not raw else None
+        if facts and not raw:
+            out |= extract.extract(tree, url, aliases, found)
+        return out | {"layouts": found}
     except Exception as e:  # noqa: BLE001  one page never fails the job
         return {"error": f"{type(e).__name__}: {e}"[:500]}
 
 
-def parsed(html: Column, url: Column, *, config: dict | None = None, schema: dict | None = None, profile: relevant.Profile | None = None, raw: bool = False) -> Column:
-    """A struct ``PAGE``: facts from the pruned page, or, if ``raw``, from the page as it came."""
+def parsed(html: Column, url: Column, *, want: Iterable[str] | None = None, config: dict | None = None, schema: dict | None = None, profile: relevant.Profile | None = None, raw: bool = False) -> Column:
+    """A struct of ``error`` and the fields of ``PAGE`` that are wanted, all of them by default.
+
+    Facts are those of the pruned page, or, if ``raw``, of the page as it came.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = to_arrow_type(PAGE)
-    names = [f.name for f in kind]
+    names = [f for f in PAGE.names if want is None or f in {"error", *want}]
+    made, asked = T.StructType([PAGE[f] for f in names]), frozenset(names)
+    kind = to_arrow_type(made)
 
-    @F.arrow_udf(PAGE)
+    @F.arrow_udf(made)
     def read(pages: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for html_, url_ in pages:
-            rows = [page_of(h.as_py(), u.as_py() or "", config, schema, profile, raw) for h, u in zip(html_, url_, strict=True)]
+            rows = [page_of(h.as_py(), u.as_py() or "", asked, config, schema, profile, raw) for h, u in zip(html_, url_, strict=True)]
             rows = [{k: list(r[k].items()) if isinstance(r.get(k), dict) else r.get(k) for k in names} for r in rows]
             yield pa.array(rows, type=kind)
 
@@ -102,14 +120,23 @@ def pages_with(pages: DataFrame, **options) -> DataFrame:
     return pages.withColumn("page", parsed(F.col("html"), F.col("url"), **options))
 
 
+def exploded(rows: DataFrame, keys: list[str], items: str, index: str, item: str) -> DataFrame:
+    """``keys``, index and item of each item of an array that a Python function gave.
+
+    Outer, and then without the rows of empty arrays: an inner explode makes the optimizer filter by the array's
+    size first, for which it calls the function a second time.
+    """
+    return rows.select(*keys, F.posexplode_outer(items).alias(index, item)).where(F.col(index).isNotNull())
+
+
 def blocks_of(pages: DataFrame) -> DataFrame:
     """One row a block: (page_id, idx, and the block's fields)."""
-    return pages.select("page_id", F.posexplode("page.blocks").alias("idx", "b")).select("page_id", "idx", "b.*")
+    return exploded(pages, ["page_id"], "page.blocks", "idx", "b").select("page_id", "idx", "b.*")
 
 
 def facts_of(pages: DataFrame) -> DataFrame:
     """One row a stated fact: (page_id, seq, source, field, value)."""
-    return pages.select("page_id", F.posexplode("page.said").alias("seq", "s")).select("page_id", "seq", "s.*")
+    return exploded(pages, ["page_id"], "page.said", "seq", "s").select("page_id", "seq", "s.*")
 
 
 def chunked(html: Column, limit: int) -> Column:

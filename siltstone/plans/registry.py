@@ -22,3 +22,12 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's scan over all cores, where its files give fewer partitions, as a small file of one row group does; else as it is.
+
+    For work that is heavy per row.  Only for plain scans: of a plan with shuffles, asking for the partitions runs it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

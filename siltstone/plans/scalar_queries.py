@@ -99,12 +99,14 @@ def format_investment(spark, sf_dir):
     return o.select("o_orderkey", money.amount_text(F.col("n") * 1000, F.lit("₹")).alias("amount"), money.amount_text(F.col("n") * 100, F.lit("₹")).alias("smaller"))
 
 
-@query()
+@query("""select p_partkey, value, case p_size % 8 when 0 then '₹' || p_size || ' Lakhs - ₹' || (p_size + 25) || ' Lakhs' when 1 then 'Upto ₹' || p_size || ' Lakhs' when 2 then '₹' || p_size || '.5 Crore - ₹' || (p_size + 1) || ' Crore'
+ when 3 then 'Starting from ₹' || p_size || ' Lakhs' when 4 then '₹' || p_size || ',500' when 5 then value when 6 then 'Moderate' else '₹' || p_size || ' K - ₹' || (p_size + 5) || ' K' end as investment from (select *, """ + MONEY + """ as value from part)""")
 def normalize_investment(spark, sf_dir):
     return parts(spark, sf_dir, value=MONEY).select("p_partkey", "value", money.investment_text(F.col("value")).alias("investment"))
 
 
-@query()
+@query("""select p_partkey, value, case p_size % 8 when 0 then p_size || '00000 - ' || (p_size + 25) || '00000' when 1 then p_size || '00000' when 2 then p_size || '5000000 - ' || (p_size + 1) || '0000000'
+ when 3 then p_size || '00000' when 4 then p_size || '500' when 5 then p_size || '000' when 6 then null else p_size || '000 - ' || (p_size + 5) || '000' end as amount from (select *, """ + MONEY + """ as value from part)""")
 def normalize_currency(spark, sf_dir):
     return parts(spark, sf_dir, value=MONEY).select("p_partkey", "value", money.currency(F.col("value")).alias("amount"))
 

@@ -26,12 +26,9 @@ def keep_dataset(rows: DataFrame, folder: str, keys: list[str], *, checkpoint: s
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         stamp = now(number)
-        if number == 0:
-            first = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*")
-            done = first.withColumns({"extraction_date": F.lit(stamp), "last_updated": F.lit(stamp)})
-        else:
-            done = upserted(spark.read.parquet(f"{folder}/v{number - 1}"), batch, keys, now=stamp).drop("operation")
-        done.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        empty = batch.limit(0).withColumns({"extraction_date": F.lit(""), "last_updated": F.lit("")})
+        old = spark.read.parquet(f"{folder}/v{number - 1}") if number else empty
+        upserted(old, batch, keys, now=stamp).drop("operation").write.mode("overwrite").parquet(f"{folder}/v{number}")
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
