@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -77,12 +78,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Mapped:
-    """A text with, for each of its characters, where it came from, and whether it was rewritten."""
+    """A text with, for each of its characters, where in the source it begins and ends, and whether it was rewritten."""
 
-    def __init__(self, text: str, spots: list[tuple[int, int]] | None = None, changed: list[bool] | None = None):
+    def __init__(self, text: str, starts: array | None = None, ends: array | None = None, changed: bytearray | None = None):
         self.text = text
-        self.spots = spots or [(k, k + 1) for k in range(len(text))]
-        self.changed = changed or [False] * len(text)
+        self.starts = array("q", range(len(text))) if starts is None else starts
+        self.ends = array("q", range(1, len(text) + 1)) if ends is None else ends
+        self.changed = bytearray(len(text)) if changed is None else changed
 
     def rewritten(self, pattern: re.Pattern, to) -> Mapped:
         """``to`` gives the text for a match, or None to leave it; its characters all come from the whole match."""
@@ -90,19 +92,22 @@ class Mapped:
 
     def edited(self, edits: Iterable[tuple[int, int, str | None]]) -> Mapped:
         """With (start, end, new text), in order and apart; None leaves what is there."""
-        text, spots, changed, done, gaps = [], [], [], 0, []
+        text, starts, ends, changed, done, gaps = [], array("q"), array("q"), bytearray(), 0, []
         for start, end, new in edits:
             if new is None or end == start:
                 continue
             text.append(self.text[done:start])
-            spots += self.spots[done:start]
+            starts += self.starts[done:start]
+            ends += self.ends[done:start]
             changed += self.changed[done:start]
             if len(new) == end - start:  # one for one
-                spots += self.spots[start:end]
+                starts += self.starts[start:end]
+                ends += self.ends[start:end]
             else:
-                spots += [(self.spots[start][0], self.spots[end - 1][1])] * len(new)
+                starts += array("q", [self.starts[start]]) * len(new)
+                ends += array("q", [self.ends[end - 1]]) * len(new)
             text.append(new)
-            changed += [True] * len(new)
+            changed += b"\1" * len(new)
             if not new:
                 gaps.append(len(changed))  # what follows a deletion counts as rewritten
             done = end
@@ -111,11 +116,11 @@ class Mapped:
         changed += self.changed[done:]
         for k in gaps:
             if k < len(changed):
-                changed[k] = True
-        return Mapped("".join(text) + self.text[done:], spots + self.spots[done:], changed)
+                changed[k] = 1
+        return Mapped("".join(text) + self.text[done:], starts + self.starts[done:], ends + self.ends[done:], changed)
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.spots[start][0], self.spots[end - 1][1]
+        return self.starts[start], self.ends[end - 1]
 
 
 # Letters of other scripts that look like ASCII ones, and what they look like.
@@ -147,7 +152,8 @@ _STARTS = (rf"(?:plus{_BETWEEN}|\+[ \t]*+)?{_NAME}", rf"(?:plus{_BETWEEN}|\+[ \t
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(_STARTS)})(?:{_BETWEEN}(?:{_NAME}|[0-9]++(?![A-Za-z])))*+", re.I)
 _SPELLED_PART = re.compile(rf"(?P<name>{_NAME})|(?P<plus>plus|\+)|(?P<number>[0-9]+)|(?P<between>{_BETWEEN})", re.I)
 _ENTITY = re.compile(r"&#0*64;|&#[xX]0*40;|&commat;|&#0*46;|&#[xX]0*2[eE];|&period;|%40")
-_BRACKETED = re.compile(r"[ \t]*(?:\[[ \t]*(?:at|@|dot|\.)[ \t]*\]|\([ \t]*(?:at|@|dot|\.)[ \t]*\)|\{[ \t]*(?:at|@|dot|\.)[ \t]*\}|<[ \t]*(?:at|@|dot|\.)[ \t]*>|[ \t]_(?:at|dot)_|[-_]{1,2}(?:at|dot)[-_]{1,2})[ \t]*", re.I)
+#: Blanks before are entered where their run begins, or not at all.
+_BRACKETED = re.compile(r"(?:(?<![ \t])[ \t]++|(?=[\[({<_-]))(?:\[[ \t]*+(?:at|@|dot|\.)[ \t]*+\]|\([ \t]*+(?:at|@|dot|\.)[ \t]*+\)|\{[ \t]*+(?:at|@|dot|\.)[ \t]*+\}|<[ \t]*+(?:at|@|dot|\.)[ \t]*+>|(?<=[ \t])_(?:at|dot)_|[-_]{1,2}(?:at|dot)[-_]{1,2})[ \t]*+", re.I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])[ \t]+dot[ \t]+(?=[0-9])", re.I)
 #: A whole address, as its signs are said aloud: its at, then what may stand before it, read backwards, and after it.
 _SAID_AT = re.compile(r"(?<![ \t])[ \t]++(?:at[ \t]++|@[ \t]*+)|@[ \t]*+", re.I)
@@ -295,7 +301,8 @@ def _found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_email``, ``n_ip``, ``n_card`` and ``n_phone`` of the base patterns, ``base_sha256``, ``spans`` (base and disguised) and ``n_disguised``.
 
-    Spans are ``kind:start:end`` in code points, end exclusive.  A null text is empty.  No other column
-    is read; columns named like the new ones are replaced.
+    Spans are ``kind:start:end`` in code points, end exclusive, by start, then by kind as listed, then by end.  A null text is
+    empty: no spans.  Texts of any length are read whole, in linear time.  Repeated rows each get the same result; an empty table gives
+    no rows.  No other column is read; columns named like the new ones are replaced.
     """
     return with_fields(docs, _found(F.col(quoted(text_col))), {name: name for name, _ in _FIELDS})
