@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds, without sorting.
 
-A document's hash decides its place in its source.  Words are summed by source and by the hash's
+A document's hash, of its id and text, decides its place in its source.  Words are summed by source and by the hash's
 leading bits; the bucket in which the running sum meets the source's budget is the boundary, and only
 that bucket is split further by the next bits, until it holds one hash.  The budgets nest: every
 document of a source is taken ``copies`` times, and those below the threshold once more.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, n_words_of, small
+from .common import cut, n_words_of, quoted, small
 
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and the most that it takes of a source, in times its size.
@@ -132,6 +132,23 @@ def taken_times(extra_below: Column, whole: Column, copies: Column) -> Column:
     return copies + F.when(more, F.lit(1)).otherwise(F.lit(0)).cast("long")
 
 
+def hash_of(id_: Column, text: Column) -> Column:
+    """Of id and text: rows without an id, or with one and the same, are told apart by text; null ids and texts differ from empty ones."""
+    return F.xxhash64(F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("")), F.coalesce(F.concat(F.lit("="), text), F.lit("")))
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(_id, source, size, hash) of every row."""
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    return docs.select(id_.alias("_id"), F.col(quoted(source_col)).alias("source"), n_words_of(text).alias("size"), hash_of(id_, text).alias("hash"))
+
+
+def decided(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, target, copies, below, whole): for each source of (source, size, hash) what is taken of it."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return thresholds(sized, cut(targets(sizes, weights, share, most)))
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -142,23 +159,16 @@ def mix(
     share: float = SHARE,
     most: float = MOST,
 ) -> DataFrame:
-    """(id, key, size, source_size, target, copies, taken) for every row of ``docs``.
+    """(id, size, source_size, target, copies, taken) for every row of ``docs``.
 
     Sources rank by code point, null last, and take their weights in turn.  ``taken`` is ``size * copies``.
-    A document is taken whole or not at all, at most ``ceil(most)`` times; rows that share an id share its
-    decision; empty texts have size 0 and are taken like the rest; an empty table gives no rows.  A
-    source in which all ids are equal can't be split: then the nearer of none and all is taken.
+    A document is taken whole or not at all, at most ``ceil(most)`` times; rows that share source, id and text share
+    their decision; empty texts have size 0 and are taken like the rest; an empty table gives no rows.  A
+    source in which all rows are equal can't be split: then the nearer of none and all is taken.  Of texts only words are counted,
+    whatever their length.  No other column is read, so none can clash.
     """
-    sized = cut(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            F.col(source_col).alias("source"),
-            n_words_of(F.col(text_col)).alias("size"),
-            F.xxhash64(F.col(id_col).cast("string")).alias("hash"),
-        )
-    )
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    found = thresholds(sized, cut(targets(sizes, weights, share, most)))
+    sized = cut(measured(docs, id_col, text_col, source_col))
+    found = decided(sized, weights, share, most)
     out = with_source(sized, found, small(found, FEW_SOURCES))
     return out.select(
         F.col("_id").alias(id_col),
@@ -167,3 +177,16 @@ def mix(
         "target",
         taken_times(F.col("below"), F.col("whole"), F.col("copies")).alias("copies"),
     ).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` that :func:`mix` takes, each once, with ``copies`` and ``taken``; columns of these names are replaced.
+
+    Nothing is joined by document: a row's own hash meets its source's threshold.
+    """
+    found = decided(cut(measured(docs, id_col, text_col, source_col)), weights, share, most)
+    given = [c for c in docs.columns if c not in ("copies", "taken")]
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in given]).alias("_row"), F.col(quoted(source_col)).alias("source"), n_words_of(text).alias("size"), hash_of(id_, text).alias("hash"))
+    taken = with_source(rows, found, small(found, FEW_SOURCES)).withColumn("copies", taken_times(F.col("below"), F.col("whole"), F.col("copies"))).where("copies > 0")
+    return taken.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in given], "copies", (F.col("size") * F.col("copies")).alias("taken"))
