@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, quoted, text_key
+from .common import BLANK, dealt_anew, quoted, text_key
 
 #: Lines of a window.
 WINDOW = 3
@@ -44,27 +44,30 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Documents come in the order of their id, null first; texts that share an id in the order of their
     hash.  Rows that repeat an id and its text are one document and keep the same lines.  A null text
-    is an empty one: a single blank line.  A text of fewer than three lines loses none.  Columns of
+    is an empty one: a single blank line.  A text of fewer than three lines loses none, one of any length is read
+    whole.  An empty table gives no rows.  Columns of
     ``docs`` stay, whatever their names, but for ``n_lines`` and ``n_removed``, which are replaced.
     """
     given = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    ready = docs.select(F.struct(*given).alias("_row"), F.col(id_col).alias("_doc"), text_key(F.col(text_col)).alias("_key"), lines_of(F.col(text_col)).alias("lines"))
-    found = windows(ready, size)
+    row, own_text = F.struct(*[F.col(quoted(c)) for c in given]), F.col(quoted(text_col))
+    place_of = [F.col(quoted(id_col)).alias("_doc"), text_key(own_text).alias("_key")]
+    found = windows(docs.select(*place_of, lines_of(own_text).alias("lines")), size)
     place = F.struct("doc", "key", "at")
-    repeated = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(dealt_anew(F.col("h")).alias("x"), "g", "first")
     starts = (
-        found.join(repeated, ["h", "g"])
+        found.withColumn("x", dealt_anew(F.col("h")))
+        .join(repeated, ["x", "g"])
         .where(~place.eqNullSafe(F.col("first")))
         .groupBy(F.col("doc").alias("_of"), F.col("key").alias("_text"))
-        .agg(F.collect_list("at").alias("_starts"))
+        .agg(F.collect_set("at").alias("_starts"))
     )
-    texts = docs.select(F.struct(*given).alias("_row"), F.col(id_col).alias("_doc"), text_key(F.col(text_col)).alias("_key"))
-    joined = texts.join(starts, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_text")), "left").withColumn("_lines", lines_of(F.col(f"_row.{text_col}")))
+    joined = docs.select(row.alias("_row"), *place_of).join(starts, F.col("_doc").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_text")), "left")
+    joined = joined.withColumn("_lines", lines_of(F.col(f"_row.{quoted(text_col)}")))
     covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (size - 1))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
     kept = joined.withColumn("_left", F.when(F.col("_starts").isNotNull(), left))
     cut_text = F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n")
-    text = F.when(F.col("_left").isNull(), F.col(f"_row.{text_col}")).otherwise(cut_text)
+    text = F.when(F.col("_left").isNull(), F.col(f"_row.{quoted(text_col)}")).otherwise(cut_text)
     return kept.select(
         *[(text if c == text_col else F.col(f"_row.{quoted(c)}")).alias(c) for c in given],
         F.size("_lines").cast("long").alias("n_lines"),
