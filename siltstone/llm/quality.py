@@ -4,9 +4,13 @@ Each rule votes good, votes bad, or abstains.  How right its votes are on good a
 not set but estimated: expectation-maximisation over the counts of vote patterns in the whole table.
 The posterior probability of a good document then replaces the demand that all rules pass.
 
-Scale: votes are native expressions of one text, so neither pass shuffles texts.  The first pass
-counts patterns, at most ``3 ** len(RULES)`` rows whatever the table's size, and the driver runs the
-iterations over these; the second is the posterior as a column expression.
+Estimates are the most probable ones under priors, so each iteration raises one objective.  The prior of a
+rule's votes on good documents counts as many documents as the table has, ``SPECIFIC`` of them right: likelihood alone
+explains junk of a single symptom as good documents with a noisy rule.  Votes to the contrary outweigh it in proportion.
+
+Scale: measures are native expressions of one text, made in one pass that writes them, with the rows that the
+caller wants, as a checkpoint.  From there patterns are counted, at most ``3 ** len(RULES)`` rows whatever the table's
+size, the driver runs the iterations over these, and the posterior is a column expression.  No text is shuffled.
 """
 
 from __future__ import annotations
@@ -16,18 +20,19 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, quoted, words_of
+from .common import BLANK, cut, quoted, words_of
 
 #: Words of a window whose repetition counts.
 REPEAT = 8
-#: Iterations of expectation-maximisation at most, the change of log-likelihood that ends them, and the counts that each estimate starts from.
-ROUNDS, ENOUGH, PRIOR = 200, 1e-9, (1.0, 1.0)
+#: Iterations of expectation-maximisation at most, and the relative change of the objective that ends them.
+ROUNDS, ENOUGH = 500, 1e-10
+#: What each share is taken to have seen before: right and wrong votes on bad documents, good and bad documents.
+BEFORE = 1.0
+#: Share of right votes on good documents that is expected, with the weight of so many tables.
+SPECIFIC, SPECIFIC_WEIGHT = 0.999, 1.0
 #: Posterior probability from which a document is kept.
 KEEP = 0.5
 
-#: The least that a rule is taken to be right when it votes on a good document.
-SPECIFIC = 0.999
-
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaim", "n_capitals", "n_letters", "n_stutter"]
 
 #: name, measure, votes good at most / at least, votes bad from; the sign says which side is bad.
@@ -49,8 +54,6 @@ def measures(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with a column for each of ``MEASURES``; null text is empty.
 
     Columns, not a struct: the optimizer would copy a struct's expressions to each of its readers.
-    ``_barrier`` depends on the row's place, so that no filter that reads it moves below the measures, where
-    each of its readings of a measure would become the measure's whole expression.
     """
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(f"[^{BLANK}]"))
@@ -86,7 +89,7 @@ def measures(docs: DataFrame, text: Column) -> DataFrame:
         "n_letters": F.length(F.regexp_replace("_text", r"\P{L}+", "")),
         "n_stutter": stutter,
     }
-    return step3.select(*[F.col(quoted(c)) for c in docs.columns], *[made[x].cast("long").alias(f"_{x}") for x in MEASURES], F.monotonically_increasing_id().alias("_barrier"))
+    return step3.select(*[F.col(quoted(c)) for c in docs.columns], *[made[x].cast("long").alias(f"_{x}") for x in MEASURES])
 
 
 def _paired(column: str, ahead: int):
@@ -114,36 +117,34 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> dict:
     """Prior and, for each rule, P(votes good | good, votes) and P(votes bad | bad, votes).
 
     ``patterns`` are votes and how many documents cast them.  The start takes a document for bad if
-    any rule says so.  No documents: the estimates are their priors.
+    any rule says so.  No documents: the estimates are their priors.  ``objective`` has the logarithm of what is maximised,
+    up to a constant, after each iteration; it never falls.
     """
-    right, wrong = PRIOR
-    weigh = [(v, n, 0.1 if -1 in v else 0.9) for v, n in sorted(patterns)]
-    before, model = -math.inf, {}
+    weigh = [(v, n, 0.01 if -1 in v else 0.99) for v, n in sorted(patterns)]
+    total = sum(n for _, n, _ in weigh)
+    sure, doubt = max(total * SPECIFIC_WEIGHT, 1) * SPECIFIC, max(total * SPECIFIC_WEIGHT, 1) * (1 - SPECIFIC)
+    model: dict = {"objective": []}
     for _ in range(ROUNDS):
-        good, total = sum(n * p for _, n, p in weigh), sum(n for _, n, _ in weigh)
-        prior = (good + 1) / (total + 2)
+        good = sum(n * p for _, n, p in weigh)
+        prior = (good + BEFORE) / (total + 2 * BEFORE)
         on_good, on_bad = [], []
         for j in range(rules):
-            hit = sum(n * p for v, n, p in weigh if v[j] == 1)
-            miss = sum(n * p for v, n, p in weigh if v[j] == -1)
-            on_good.append(max(SPECIFIC, (hit + right) / (hit + miss + right + wrong)))
-            caught = sum(n * (1 - p) for v, n, p in weigh if v[j] == -1)
-            let = sum(n * (1 - p) for v, n, p in weigh if v[j] == 1)
-            on_bad.append((caught + right) / (caught + let + right + wrong))
-        model = {"prior": prior, "on_good": on_good, "on_bad": on_bad}
-        log = 0.0
+            hit, miss, let, caught = (sum(n * (p if on else 1 - p) for v, n, p in weigh if v[j] == vote) for on, vote in ((True, 1), (True, -1), (False, 1), (False, -1)))
+            on_good.append((hit + sure) / (hit + miss + sure + doubt))
+            on_bad.append((caught + BEFORE) / (caught + let + 2 * BEFORE))
+        value = BEFORE * math.log(prior * (1 - prior)) + sum(sure * math.log(a) + doubt * math.log(1 - a) for a in on_good) + sum(BEFORE * math.log(c * (1 - c)) for c in on_bad)
         for k, (v, n, _) in enumerate(weigh):
             g, b = math.log(prior), math.log(1 - prior)
             for x, a, c in zip(v, on_good, on_bad, strict=True):
                 g += math.log(a if x == 1 else 1 - a) if x else 0.0
                 b += math.log(c if x == -1 else 1 - c) if x else 0.0
-            top = max(g, b)
-            both = top + math.log(math.exp(g - top) + math.exp(b - top))
-            log += n * both
+            both = max(g, b) + math.log1p(math.exp(-abs(g - b)))
+            value += n * both
             weigh[k] = (v, n, math.exp(g - both))
-        if log - before <= ENOUGH * max(1.0, abs(log)):
+        model |= {"prior": prior, "on_good": on_good, "on_bad": on_bad}
+        model["objective"].append(value)
+        if len(model["objective"]) > 1 and value - model["objective"][-2] <= ENOUGH * max(1.0, abs(value)):
             break
-        before = log
     return model
 
 
@@ -159,23 +160,22 @@ def base_failed() -> Column:
     return (F.col("_n_words") < 20) | (F.col("_n_repeat_words") * 100 > F.col("_n_words") * 30)
 
 
-def judge(docs: DataFrame, *, text_col: str = "text", keep: float = KEEP) -> DataFrame:
+def judge(docs: DataFrame, *, text_col: str = "text", keep: float = KEEP, with_text: bool = True) -> DataFrame:
     """``docs`` with the measures (``_n_words`` and so on), ``base_failed``, ``p_good`` and ``kept``.
 
     Too short or too repetitive texts fail the base rules and go whatever the posterior.  A null or
-    empty text has no words and fails.  Repeated rows vote each for themselves.  An empty table gives no
-    rows.  Columns of ``docs`` stay, but for those named as the added ones, which are replaced.
+    empty text has no words and fails; one of any length is measured whole.  Repeated rows vote each for themselves.  A posterior
+    equal to ``keep`` keeps.  An empty table gives no rows.  Columns of ``docs`` stay, but for those named as the added ones,
+    which are replaced, and the text if it is not wanted.
     """
     names = [r[0] for r in RULES]
-    read = measures(docs.select(F.col(quoted(text_col)).alias("_t")), F.col("_t"))
-    counted = read.select(*votes()).groupBy(*names).agg(F.count("*").alias("n")).collect()  # 3 ** len(RULES) rows at most
-    model = fit([(tuple(r[x] for x in names), r["n"]) for r in counted], len(names))
-    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), F.col(quoted(text_col)).alias("_t"))
-    voted = measures(whole, F.col("_t")).select("*", *[v.alias(f"_v_{x}") for v, x in zip(votes(), names, strict=True)])
-    judged = (
-        voted.withColumn("base_failed", base_failed())
-        .withColumn("p_good", posterior(model, [f"_v_{x}" for x in names]))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep) & (F.col("_barrier") >= 0))
-    )
     new = [*[f"_{x}" for x in MEASURES], "base_failed", "p_good", "kept"]
-    return judged.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in docs.columns if c not in new], *new)
+    given = [c for c in docs.columns if c not in new and (with_text or c != text_col)]
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in given] or [F.lit(0)]).alias("_row"), F.col(quoted(text_col)).alias("_t"))
+    made = cut(measures(rows, F.col("_t")).drop("_t"))
+    voted = made.select("*", *[v.alias(f"_v_{x}") for v, x in zip(votes(), names, strict=True)])
+    voting = [f"_v_{x}" for x in names]
+    counted = voted.groupBy(*voting).agg(F.count("*").alias("n")).collect()  # 3 ** len(RULES) rows at most
+    model = fit([(tuple(r[x] for x in voting), r["n"]) for r in counted], len(names))
+    judged = voted.withColumn("base_failed", base_failed()).withColumn("p_good", posterior(model, voting)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep))
+    return judged.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in given], *new)

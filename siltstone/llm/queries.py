@@ -6,57 +6,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, jaccard, langid, licence_notices, licences, line_dedup, mixing, phrases, pii, quality, url_rules
+from ..plans.registry import spread
 from .common import table
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, url_rules.RULES))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.find_benchmark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontam.find_benchmark(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     told = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
     return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    done = line_dedup.dedup_lines(documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.group_near(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.group_near(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = phrases.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = phrases.cut_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_licenses(table(spark, sf_dir, "documents"), licences.known_frame(spark))
+    return licences.scan_licenses(documents(spark, sf_dir), licences.known_frame(spark))
 
 
 def op8_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licence_notices.find_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licence_notices.find_notices(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col(f"_{x}").alias(x) for x in base], "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
