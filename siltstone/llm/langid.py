@@ -13,7 +13,6 @@ frequencies are counted over all labelled rows that may be learned from, by one
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ SPARE = 2
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.002
 #: Code points that are hashed at a time.
 CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 #: Odd multipliers, one for each place of an n-gram, and one that spreads the sum.
 _MULTIPLY = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 _SPREAD = np.uint32(0x27D4EB2F)
@@ -128,7 +126,7 @@ def train(rows: list[tuple[list[int], list[int], str]], seen: np.ndarray, n_docs
 
 
 def predict(text: str | None, model: dict) -> tuple[str, float]:
-    if not text or not model["names"] or not _LETTER.search(text):
+    if not text or not model["names"] or not any(map(str.isalpha, text)):
         return "und", 0.0
     at, values = features(text, model["idf"])
     p = softmax(values @ model["weights"][at] / model["temperature"])
@@ -178,7 +176,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """A model of the labelled rows that aren't held out and have a text.
 
     Of every language, the rows of the least hashes of id and text; copies of both count once.  Ties are in the order
-    of id and a second hash of the text, so reruns agree.
+    of id and a second hash of the text, so reruns agree.  Without such rows, as of an empty table, the model knows no language.
+    Texts of any length are read whole; no other column is read.
     """
     id_, text = F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("null")), F.col(quoted(text_col))
     learnable = docs.where(F.col(quoted(lang_col)).isNotNull() & text.isNotNull() & ~held_out(F.col(quoted(id_col))))
@@ -202,7 +201,8 @@ def identify(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFra
     """``docs`` with ``lang_pred`` and ``score``.
 
     A text that is null or has no letter is ``und`` with score 0, as all are under a model that saw no
-    labelled rows.  No other column is read; columns named like the new ones are replaced.
+    labelled rows.  Of languages as probable the first by name is told; repeated rows each get the same.  Texts of any length
+    are read whole; an empty table gives no rows.  No other column is read; columns named like the new ones are replaced.
     """
 
     @F.arrow_udf("struct<lang:string,score:double>")
