@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, quoted
 
 # Spellings that count as one, the second stands for both.
 EQUIVALENT = [
@@ -90,6 +90,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id",
     """
     texts = known.withColumn("form", canonical(F.col("text"))).where("form != ''")
     digests = texts.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
-    n_copyright = F.regexp_count(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(COPYRIGHT)).cast("long")
-    own = docs.select(F.col(id_col).alias("_id"), n_copyright.alias("n_copyright"), digest(F.col(text_col)).alias("digest"))
+    text = F.col(quoted(text_col))
+    n_copyright = F.regexp_count(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(COPYRIGHT)).cast("long")
+    own = docs.select(F.col(quoted(id_col)).alias("_id"), n_copyright.alias("n_copyright"), digest(text).alias("digest"))
     return own.join(digests, "digest", "left").select(F.col("_id").alias(id_col), "n_copyright", "digest", "license_id")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import lower_ascii
+from .common import lower_ascii, quoted
 
 #: Cells of the key line at most.
 MAX_CELLS = 64
@@ -85,7 +85,7 @@ def filter_urls(docs: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     ready = prepared(rules)
     about = ready.agg(F.count("*").alias("n"), F.collect_set("depth").alias("depths")).first()
     n_rules, depths = about["n"], sorted(about["depths"] or [])
-    pages = docs.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("_host"), path_of(F.col(url_col)).alias("_path"))
+    pages = docs.select(F.col(quoted(id_col)).alias("_id"), host_of(F.col(quoted(url_col))).alias("_host"), path_of(F.col(quoted(url_col))).alias("_path"))
     named = [F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path")]
     if not n_rules:
         return pages.select(*named, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
