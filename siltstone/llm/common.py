@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     in local mode with none named, since executors on other machines would not see it.
     """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -44,7 +45,8 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared checkpoint folder, and read from there."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -84,15 +86,19 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished phases, which it does as their plans are collected.
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, an execution's shuffle files are removed as soon as it ends, and not when its plan is collected.
 
-    Its cleaner runs beside the jobs; the pauses let it begin before the next phase writes.
+    Each phase of an operator writes a table that the next one reads, so what it shuffled is of no more use.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def dealt_anew(c: Column) -> Column:

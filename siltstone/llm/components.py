@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -25,11 +25,14 @@ def connected(links: DataFrame) -> DataFrame:
         rank = lambda c, k=k: F.xxhash64(F.lit(k), c)
         best = both.groupBy("v").agg(F.min_by("w", rank("w")).alias("w"))
         move = stored(best.select("v", F.when(rank("w") < rank("v"), F.col("w")).otherwise(F.col("v")).alias("to")))
+        before = edges, at, move
         at = stored(at.join(move.withColumnRenamed("v", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         one = edges.join(move.select(F.col("v").alias("a"), F.col("to").alias("x")), "a")
         two = one.join(move.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
         edges = stored(two.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(*before)
         k += 1
+    discard(edges)
     return at
 
 

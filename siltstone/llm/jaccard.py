@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import dealt_anew, discard, quoted, release, small, stored
+from .common import dealt_anew, discard, quoted, small, stored
 from .components import rerooted
 from .hashing import pieces, sequence_hashes, word_hashes
 from .product import PERCENT, least_of, merged_parts
@@ -45,7 +45,7 @@ FREQUENT, MAX_FREQUENT = 32, 1 << 20
 #: One column more than the first for so many shingles must be shared.
 PER_COLUMN = 16
 #: Shingles of a tile: of one that small groups share, and of one that a large group is cut into.
-SHARED_TILE, CUT_TILE = 1 << 18, 1 << 19
+SHARED_TILE, CUT_TILE = 1 << 19, 1 << 20
 #: Size classes are powers of a little over 100 / PERCENT; sizes beyond the last are in one.
 SIZE_STEP, LAST_SIZE = 100 / PERCENT + 1e-6, 62
 
@@ -141,21 +141,17 @@ def _of_several(rows: DataFrame, key: str, value: str = "c") -> DataFrame:
 
 def _columns(classes: DataFrame, own: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(c, slot, n, g): rows and the columns, each of one size class, in which others may link with them."""
-    spark = own.sparkSession
     # no filter by the prefix: it would be computed once more for that
     prefixes = own.select(_prefixed(*frequent)("_text").alias("s")).groupBy("s.digest").agg(F.first("s.prefix").alias("prefix"))
     prefixes = stored(prefixes.join(classes.select("digest", "c"), "digest").select("c", "prefix"))
-    release(spark)
     rows = prefixes.select("c", F.explode("prefix").alias("h"))
     met = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(dealt_anew(F.col("h")).alias("_key"))
     shared = stored(rows.withColumn("_key", dealt_anew(F.col("h"))).join(met, "_key", "left_semi").select("c", "h"))
     discard(prefixes)
-    release(spark)
     size = F.least(F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_STEP))), F.lit(LAST_SIZE)).cast("int")
     sized = shared.join(classes.select("c", "n"), "c").withColumn("slot", F.explode(F.array(size, size + 1)))
     slots = stored(_of_several(sized.select("c", "slot", "n", F.xxhash64("h", "slot").alias("g")), "g"))
     discard(shared)
-    release(spark)
     needed = F.floor(F.ceil(F.min("n") * PERCENT / 100) / PER_COLUMN) + 1
     enough = slots.groupBy("c", "slot").agg(F.count("*").alias("k"), needed.alias("needed")).where("k >= needed").select("c", "slot")
     left = stored(_of_several(slots.join(enough, ["c", "slot"]), "g"))
@@ -168,7 +164,7 @@ def _tiled(units: DataFrame, salt: int) -> DataFrame:
     each = stored(units.groupBy("c", "slot").agg(F.max("n").alias("n"), F.min(F.xxhash64(F.lit(salt), "g")).alias("m")))
     tiles = max(1, -(-(each.agg(F.sum("n")).first()[0] or 0) // SHARED_TILE))
     large = each.groupBy("m").agg(F.sum("n").alias("w")).where(F.col("w") > SHARED_TILE).select(dealt_anew(F.col("m")).alias("_m"), F.ceil(F.col("w") / CUT_TILE).alias("cuts"))
-    cut_by = F.xxhash64("m", F.pmod(F.xxhash64(F.lit(salt), "c"), F.col("cuts")))
+    cut_by = F.when(F.col("cuts").isNotNull(), F.xxhash64("m", F.pmod(F.xxhash64(F.lit(salt), "c"), F.col("cuts"))))
     tile = F.coalesce(cut_by, F.pmod(F.xxhash64(F.lit(1), "m"), F.lit(tiles)))
     return stored(each.withColumn("_m", dealt_anew(F.col("m"))).join(large, "_m", "left").select("c", "slot", F.coalesce(cut_by, "m").alias("family"), tile.alias("tile")))
 
@@ -217,7 +213,6 @@ def _across(units: DataFrame, tiles: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _roots(columns: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of rows that link with any other."""
-    spark = columns.sparkSession
     tiles = []
     roots = None
     for odd in (0, 1):
@@ -228,10 +223,10 @@ def _roots(columns: DataFrame, sets: DataFrame) -> DataFrame:
         moves = _multiplied(tiles[-1].select("c", "tile", F.lit(True).alias("asked")), sets, roots)
         # in the first pass a row is in one tile, so what its tile says is final
         roots = _after(roots, moves) if roots is not None else stored(moves.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(moves.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
-        release(spark)
     across = _across(columns, tiles[0].unionByName(tiles[1]), roots)
-    release(spark)
-    return roots if across.isEmpty() else _after(roots, _multiplied(across, sets, roots))
+    roots = roots if across.isEmpty() else _after(roots, _multiplied(across, sets, roots))
+    discard(across, *tiles)
+    return roots
 
 
 def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +238,6 @@ def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Repeated rows each get the same result.  Texts may be of any length.  An empty table gives no rows.  No other
     column is read, so none can clash.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     own = docs.select(F.col(quoted(id_col)).alias("_id"), internal_id(F.col(quoted(id_col)), text).alias("c"), text.cast("binary").alias("_text"))
     by_hash = stored(own.select("_id", "c", _prefixed(*_NONE)("_text").alias("s")).select("_id", "c", "s.*"))
@@ -251,14 +245,12 @@ def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     frequent = _frequent(by_hash)
     discard(by_hash)
     classes = stored(made.where("n > 0").groupBy("digest").agg(F.min("c").alias("c"), F.min("_id").alias("least"), F.first("n").alias("n")))
-    release(spark)
     columns = _columns(classes, own, frequent)
-    release(spark)
     wanted = columns.select("c").distinct()
     texts = own.join(wanted, "c", "left_semi").groupBy("c", F.xxhash64("_text").alias("_key")).agg(F.first("_text").alias("_text"))
     sets = stored(texts.select("c", _whole("_text").alias("set")))
-    release(spark)
     roots = _roots(columns, sets)
+    discard(columns, sets)
     # an id with several texts: copies of one may be a class by another id
     same = made.where("n > 0").join(classes.select("digest", F.col("c").alias("a")), "digest").where("a <> c").select("a", F.col("c").alias("b")).distinct()
     same = stored(same.join(classes.select(F.col("c").alias("b")), "b", "left_semi").select("a", "b"))
