@@ -7,8 +7,9 @@ each is found, and every occurrence in a later document, or later in its own, is
 
 Scale: one text in seven words is an anchor, counted map-side by two marks of the texts that have
 it; recurring windows' hashes are grouped by minima and joined back by sort-merge joins that adaptive execution may split.
-Copies of a text are one text from the start, whatever their number.  A document's cuts gather in one
-row, which its length bounds.  Nothing is broadcast.
+Windows are told apart by 128 bits.  Copies of a text are one text when windows are made, whatever their number.  A document's
+anchors and cuts gather in one row each, which its length bounds.  Each phase is a table, so nothing is computed
+twice and what a phase shuffled is gone before the next.  Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, dealt_anew, quoted, release
-from .hashing import pieces, sequence_hashes, word_hashes
+from .common import dealt_anew, discard, quoted, stored
+from .hashing import mixed, pieces, sequence_hashes, word_hashes
 from .jaccard import internal_id
 
 WINDOW, GRAM = 20, 8
+_OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,18 +69,19 @@ def _earlier_in_text(hashes: np.ndarray) -> np.ndarray:
     return first[place] < np.arange(len(hashes))
 
 
-@F.arrow_udf(_array_of(w=T.LongType(), s=T.IntegerType()))
+@F.arrow_udf(_array_of(w=T.LongType(), v=T.LongType(), s=T.IntegerType()))
 def _windows(texts: pa.Array, starts: pa.Array, sizes: pa.Array) -> pa.Array:
-    """Hash and start of the windows that the given anchors serve, without those that the text itself has earlier."""
+    """Two hashes and start of the windows that the given anchors serve, without those that the text itself has earlier."""
     parts = []
     for t, s, m in zip(texts, starts, sizes, strict=True):
-        hashes = sequence_hashes(word_hashes(t.as_py().split()), WINDOW)
+        words = word_hashes(t.as_py().split())
+        hashes, others = sequence_hashes(words, WINDOW), sequence_hashes(mixed(words ^ _OTHER), WINDOW)
         want = np.zeros(len(hashes), dtype=bool)
         for a, n in zip(s.values.to_numpy(), m.values.to_numpy(), strict=True):
             want[a : a + n] = True
         at = np.flatnonzero(want & ~_earlier_in_text(hashes))
-        parts.append([hashes[at].view(np.int64), at])
-    return _packed(parts, ["w", "s"], [np.int64, np.int32])
+        parts.append([hashes[at].view(np.int64), others[at].view(np.int64), at])
+    return _packed(parts, ["w", "v", "s"], [np.int64, np.int64, np.int32])
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
@@ -111,32 +114,34 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Documents come in the order of their ids, whole numbers; null ids come first.  Rows that share an id
     are one document, and none's windows are earlier than another's; rows that share text as well get the same
-    result.  Null texts have no words; texts under 20 words lose none.  Other columns of ``docs`` stay,
-    but for those named above, which are replaced.
+    result.  Null texts have no words; texts under 20 words lose none; of any length they are read whole.  An empty table gives no
+    rows.  Other columns of ``docs`` stay, whatever their names, but for those named above, which are replaced.
     """
-    spark = docs.sparkSession
     new = ["n_words", "n_removed", "kept"]
     given = [c for c in docs.columns if c not in new]
     text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     tagged = docs.select(
         F.struct(*[F.col(quoted(c)) for c in given]).alias("_row"), text.cast("binary").alias("_text"), internal_id(F.col(quoted(id_col)), text).alias("u"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
     )
-    texts = tagged.select("u", "k1", "k2").groupBy("k1", "k2").agg(F.min("u").alias("c"), F.count("*").alias("n"))
-    owners = cut(texts)
+    owners = stored(tagged.select("u", "k1", "k2").groupBy("k1", "k2").agg(F.min("u").alias("c"), F.count("*").alias("n")))
     copies = tagged.select("u", "k1", "k2").join(owners.where("n > 1").drop("n"), ["k1", "k2"]).where("u <> c").select("u", "k1").distinct()
 
-    spots = tagged.select("k1", F.explode(_anchors("_text")).alias("x")).select("k1", "x.*")
-    recurring = spots.groupBy("a").agg(F.min("k1").alias("one"), F.max("k1").alias("other"), F.max("again").alias("again")).where("one <> other or again = 1").select(dealt_anew(F.col("a")).alias("b"))
-    served = spots.withColumn("b", dealt_anew(F.col("a"))).join(recurring, "b").select("k1", "s", "m").groupBy("k1").agg(F.collect_list(F.struct("s", "m")).alias("x"))
-    wanted = cut(served.join(owners.drop("n"), "k1").select("k1", "c", F.col("x.s").alias("s"), F.col("x.m").alias("m")))
-    release(spark)
-
-    rows = tagged.select("_text", "u", "k1").join(wanted.withColumnRenamed("c", "u"), ["u", "k1"]).select(F.col("u").alias("c"), "k1", F.explode(_windows("_text", "s", "m")).alias("x")).select("c", "k1", "x.*")
-    firsts = rows.groupBy("w").agg(F.min("c").alias("first"), F.max("c").alias("last")).where("first < last").select(dealt_anew(F.col("w")).alias("x"), "first")
-    late = cut(rows.withColumn("x", dealt_anew(F.col("w"))).join(firsts, "x").where("c > first").groupBy("c", "k1").agg(F.collect_list("s").alias("starts")))
-    release(spark)
-
-    known = late.select(F.col("c").alias("u"), "k1", "starts", F.lit(False).alias("copy")).unionByName(copies.select("u", "k1", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
+    # outer explodes: an inner one would have the arrays made once more, to filter by their size
+    spots = stored(tagged.select("k1", F.explode_outer(_anchors("_text")).alias("x")).select("k1", "x.*").where("a is not null"))
+    ends = spots.groupBy("a").agg(F.min("k1").alias("one"), F.max("k1").alias("other"), F.max("again").alias("again")).where("one <> other or again = 1")
+    recurring = stored(ends.select(dealt_anew(F.col("a")).alias("b")))
+    served = spots.withColumn("b", dealt_anew(F.col("a"))).join(recurring, "b").groupBy("k1").agg(F.collect_set(F.struct("s", "m")).alias("x"))
+    wanted = stored(served.join(owners, "k1").select("k1", F.col("c").alias("u"), F.col("x.s").alias("s"), F.col("x.m").alias("m")))
+    discard(spots, recurring)
+
+    windows = tagged.select("_text", "u", "k1").join(wanted, ["u", "k1"]).select("u", "k1", F.explode_outer(_windows("_text", "s", "m")).alias("x"))
+    rows = stored(windows.select("u", "k1", "x.*").where("w is not null"))
+    discard(wanted)
+    firsts = stored(rows.groupBy("w", "v").agg(F.min("u").alias("first"), F.max("u").alias("last")).where("first < last").select(dealt_anew(F.col("w")).alias("x"), "v", "first"))
+    late = stored(rows.withColumn("x", dealt_anew(F.col("w"))).join(firsts, ["x", "v"]).where("u > first").groupBy("u", "k1").agg(F.collect_set("s").alias("starts")))
+    discard(rows, firsts)
+
+    known = late.select("u", "k1", "starts", F.lit(False).alias("copy")).unionByName(copies.select("u", "k1", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("copy")))
     joined = tagged.select("_row", "u", "k1").join(known, ["u", "k1"], "left")
     done = joined.select("_row", _cut(F.col(f"_row.{quoted(text_col)}").cast("binary"), F.coalesce("copy", F.lit(False)), "starts").alias("x"))
     return done.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in given], *[F.col(f"x.{c}").alias(c) for c in new])
