@@ -47,8 +47,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Documents without words are in no group and stay; of rows that share an id, all go or stay, and
     rows without an id stay, unless they are near one with an id.  An empty table gives no rows.  No column is changed.
     """
-    found = common.cut(jaccard.group_near(docs.select("doc_id", "text")))
-    common.release(spark)
+    found = common.stored(jaccard.group_near(docs.select("doc_id", "text")))
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
