@@ -83,6 +83,7 @@ def investment_text(text: Column) -> Column:
 
 def area_text(text: Column) -> Column:
     tight = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"(?U)\s*[\-–—]\s*", "-")
+    # fixed value: the units that go, odd class of characters included
     bare = strip(F.regexp_replace(tight, r"(?iU)\s*(sq\.?\s*f[t|eet]+|sqft|sft)\b", ""))
     return F.when(tight == "", F.lit("")).otherwise(F.concat(bare, F.lit(" Sq.ft")))
 

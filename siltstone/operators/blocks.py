@@ -180,24 +180,31 @@ def table_pairs(table: Node) -> list[tuple[str, str]]:
     return [(k, c.text()) for r in rows[1:] if len(r) == len(names) for k, c in zip(names, r, strict=True)]
 
 
-def chunks(root: Node, limit: int = 60_000) -> list[dict]:
+def chunks(root: Node, limit: int = 60_000, loose_text: bool = True) -> list[dict]:
     """Pieces of a page of at most ``limit`` estimated tokens: (chunk_type, heading_path, html, n_tokens).
 
     A page that fits is one.  Else elements are split into their children, lists and tables into halves of
-    their rows, and what has no parts into windows of characters; text right under a split element is dropped.
+    their rows, and what has no parts into windows of characters.  Text right under a split element is a piece of the
+    kind TEXT, in windows if it is long; without ``loose_text`` it is left out, as it is in older datasets.
     """
     size = lambda html: max(1, len(html) // 4)
     whole = root.html()
     if size(whole) <= limit:
         return [{"chunk_type": "DIRECT", "heading_path": [], "html": whole, "n_tokens": size(whole)}]
-    out, todo = [], [(root.first("body") or root, ())]
+    step = max(1000, 3 * limit)
+    windows = lambda kind, text, path: [{"chunk_type": kind, "heading_path": list(path), "html": text[k : k + step], "n_tokens": size(text[k : k + step])} for k in range(0, len(text), step)]
+    out: list[dict] = []
+    todo: list[tuple[Node | str, tuple[str, ...]]] = [(root.first("body") or root, ())]
     while todo:
         node, path = todo.pop()
+        if isinstance(node, str):
+            out += windows("TEXT", node, path)
+            continue
         html = node.html()
         if node.tag and size(html) <= limit:
             out.append({"chunk_type": node.tag.upper(), "heading_path": list(path), "html": html, "n_tokens": size(html)})
             continue
-        parts = node.find("tr") if node.tag == "table" else [c for c in node.elements()]
+        parts = node.find("tr") if node.tag == "table" else node.elements()
         if node.tag in ("ul", "ol", "table") and len(parts) > 1:
             for half in (parts[len(parts) // 2 :], parts[: len(parts) // 2]):
                 made = Node(node.tag, node.attrs)
@@ -205,13 +212,14 @@ def chunks(root: Node, limit: int = 60_000) -> list[dict]:
                 todo.append((made, path))
         elif parts:
             under, named = [], path
-            for c in parts:
+            for c in parts if node.tag == "table" else node.children:
+                if isinstance(c, str):
+                    under += [(text, named)] if loose_text and (text := c.strip()) else []
+                    continue
                 if c.tag in HEADINGS:
                     named = (*path, c.text())
                 under.append((c, named))
             todo += reversed(under)
         else:
-            step = max(1000, 3 * limit)
-            text = node.text()
-            out += [{"chunk_type": "WINDOW", "heading_path": list(path), "html": text[k : k + step], "n_tokens": size(text[k : k + step])} for k in range(0, len(text), step)]
+            out += windows("WINDOW", node.text(), path)
     return out

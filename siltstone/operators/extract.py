@@ -10,7 +10,7 @@ from ..plans.fields import allowed, field_for
 from .blocks import layouts
 from .tree import HEADINGS, Node, select
 
-# Links that share, hosts' parts that name nobody, links to known services, words for no value, parts of an address, class names of names.
+# Fixed values, patterns included: links that share, hosts' parts that name nobody, links to known services, words for no value, parts of an address, class names of names.
 SHARES = ("share", "sharer", "intent/tweet", "sharearticle", "dialog/share", "pin/create", "sharing", "twitter.com/home?status", "facebook.com/sharer.php")
 COMMON = ("www", "com", "net", "org", "co", "in")
 SERVICES = [("facebook", ("facebook",)), ("instagram", ("instagram",)), ("linkedin", ("linkedin",)), ("twitter", ("twitter", "x.com")), ("youtube", ("youtube", "youtu.be"))]
