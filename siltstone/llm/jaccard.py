@@ -6,8 +6,8 @@ before any tile is multiplied: linked sets share at least k of the first ``|x| -
 shingles of each, in any one order of all shingles, and their sizes differ by a third at most.  So only prefixes
 are dealt by column, only to rows of a like size, and a row with fewer than k columns that any other row of that size has goes.
 
-Rows that are left are dealt to tiles by the least hash of their columns, which rows that are alike
-mostly have in common; small groups share a tile, large ones are cut by a hash.  A task holds one tile, counts
+Rows that are left are dealt to tiles by families, which are told by the least hashes of their columns and which rows that
+are alike mostly have in common; small families share a tile, large ones are cut by a hash.  A task holds one tile, counts
 overlaps (``product.merged_parts``) and gives out only which parts became one; pairs are never rows.  Each row is
 in two size classes, an even and an odd one: all even tiles are multiplied first, then the odd ones, with other
 cuts and without comparing rows that are connected already.  Columns that then still lie in several tiles and
@@ -46,6 +46,8 @@ FREQUENT, MAX_FREQUENT = 32, 1 << 20
 PER_COLUMN = 16
 #: Shingles of a tile: of one that small groups share, and of one that a large group is cut into.
 SHARED_TILE, CUT_TILE = 1 << 19, 1 << 20
+#: Least columns of a row by which its family is told.
+LOW = 8
 #: Size classes are powers of a little over 100 / PERCENT; sizes beyond the last are in one.
 SIZE_STEP, LAST_SIZE = 100 / PERCENT + 1e-6, 62
 
@@ -54,7 +56,8 @@ _SIGNED = T.ArrayType(T.LongType())
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of a whole text as sorted hashes: A-Z lower-cased words, all of them if fewer than ``size``."""
-    return np.unique(sequence_hashes(word_hashes(text.lower().split()), size))
+    s = np.sort(sequence_hashes(word_hashes(text.lower().split()), size))
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
 def prefix_length(n: int) -> int:
@@ -160,8 +163,18 @@ def _columns(classes: DataFrame, own: DataFrame, frequent: tuple[np.ndarray, np.
 
 
 def _tiled(units: DataFrame, salt: int) -> DataFrame:
-    """(c, slot, family, tile) of ``units`` (c, slot, n, g): rows of one least column are a family, or several if it is cut."""
-    each = stored(units.groupBy("c", "slot").agg(F.max("n").alias("n"), F.min(F.xxhash64(F.lit(salt), "g")).alias("m")))
+    """(c, slot, family, tile) of ``units`` (c, slot, n, g): families are kept together.
+
+    A row's family is the least mark of any row that it shares one of its ``LOW`` least columns with, its own mark
+    being its least column.  A family too large for a tile is cut.
+    """
+    low = F.slice(F.array_sort(F.collect_list(F.xxhash64(F.lit(salt), "g"))), 1, LOW)
+    marked = stored(units.groupBy("c", "slot").agg(F.max("n").alias("n"), low.alias("low")))
+    shared = marked.select("c", "slot", F.get("low", F.lit(0)).alias("m"), F.explode("low").alias("h"))
+    least = shared.groupBy("h").agg(F.min("m").alias("m")).select(dealt_anew(F.col("h")).alias("_h"), "m")
+    family = shared.select("c", "slot", dealt_anew(F.col("h")).alias("_h")).join(least, "_h").groupBy("c", "slot").agg(F.min("m").alias("m"))
+    each = stored(family.join(marked.select("c", "slot", "n"), ["c", "slot"]))
+    discard(marked)
     tiles = max(1, -(-(each.agg(F.sum("n")).first()[0] or 0) // SHARED_TILE))
     large = each.groupBy("m").agg(F.sum("n").alias("w")).where(F.col("w") > SHARED_TILE).select(dealt_anew(F.col("m")).alias("_m"), F.ceil(F.col("w") / CUT_TILE).alias("cuts"))
     cut_by = F.when(F.col("cuts").isNotNull(), F.xxhash64("m", F.pmod(F.xxhash64(F.lit(salt), "c"), F.col("cuts"))))
