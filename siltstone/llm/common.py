@@ -50,6 +50,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared checkpoint folder, dealt by ``key``, and its name: joins on the key do not shuffle it again."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with tidy(spark):
+        df.write.bucketBy(parts, key).sortBy(key).format("parquet").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of stored frames, of which nothing that is still to run reads."""
     for df in frames:

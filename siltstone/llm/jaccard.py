@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import dealt_anew, discard, quoted, small, stored
+from .common import bucketed, dealt_anew, discard, quoted, small, stored
 from .components import rerooted
 from .hashing import pieces, sequence_hashes, word_hashes
 from .product import PERCENT, least_of, merged_parts
@@ -90,10 +90,13 @@ def _prefixed(frequent: np.ndarray, counts: np.ndarray):
                 near = np.flatnonzero(maybe[s & bits]) if len(frequent) else ()
                 if len(near) and near[0] < p:
                     at = np.minimum(np.searchsorted(frequent, s[near]), len(frequent) - 1)
-                    rank = np.zeros(len(s), dtype=np.int64)
-                    rank[near] = np.where(frequent[at] == s[near], counts[at], 0)
-                    if rank[:p].any():
-                        s = s[np.argsort(rank, kind="stable")]
+                    hit = frequent[at] == s[near]
+                    rare = np.ones(len(s), dtype=bool)
+                    rare[near[hit]] = False
+                    last = s[~rare]
+                    s = s[rare]
+                    if len(s) < p:
+                        s = np.concatenate([s, last[np.argsort(counts[at[hit]], kind="stable")]])
                 prefixes.append(s[:p].copy())  # a view would keep the whole set
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(prefixes)], ["n", "digest", "prefix"])
 
@@ -138,7 +141,7 @@ def _frequent(prefixes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _of_several(rows: DataFrame, key: str, value: str = "c") -> DataFrame:
     """The rows whose ``key`` has more than one ``value``."""
-    ends = rows.groupBy(key).agg(F.min(value).alias("_least"), F.max(value).alias("_most")).where("_least < _most").select(dealt_anew(F.col(key)).alias("_key"))
+    ends = rows.groupBy(key).agg(F.min(value).alias("_least"), F.max(value).alias("_most")).where("_least < _most").select(dealt_anew(F.col(key)).alias("_key")).hint("shuffle_hash")
     return rows.withColumn("_key", dealt_anew(F.col(key))).join(ends, "_key", "left_semi").drop("_key")
 
 
@@ -148,7 +151,8 @@ def _columns(classes: DataFrame, own: DataFrame, frequent: tuple[np.ndarray, np.
     prefixes = own.select(_prefixed(*frequent)("_text").alias("s")).groupBy("s.digest").agg(F.first("s.prefix").alias("prefix"))
     prefixes = stored(prefixes.join(classes.select("digest", "c"), "digest").select("c", "prefix"))
     rows = prefixes.select("c", F.explode("prefix").alias("h"))
-    met = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(dealt_anew(F.col("h")).alias("_key"))
+    # one row a column, so that its side can be hashed and the long one need not be sorted
+    met = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(dealt_anew(F.col("h")).alias("_key")).hint("shuffle_hash")
     shared = stored(rows.withColumn("_key", dealt_anew(F.col("h"))).join(met, "_key", "left_semi").select("c", "h"))
     discard(prefixes)
     size = F.least(F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_STEP))), F.lit(LAST_SIZE)).cast("int")
@@ -261,9 +265,10 @@ def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     columns = _columns(classes, own, frequent)
     wanted = columns.select("c").distinct()
     texts = own.join(wanted, "c", "left_semi").groupBy("c", F.xxhash64("_text").alias("_key")).agg(F.first("_text").alias("_text"))
-    sets = stored(texts.select("c", _whole("_text").alias("set")))
+    sets, listed = bucketed(texts.select("c", _whole("_text").alias("set")), "c")
     roots = _roots(columns, sets)
     discard(columns, sets)
+    sets.sparkSession.sql(f"DROP TABLE {listed}")
     # an id with several texts: copies of one may be a class by another id
     same = made.where("n > 0").join(classes.select("digest", F.col("c").alias("a")), "digest").where("a <> c").select("a", F.col("c").alias("b")).distinct()
     same = stored(same.join(classes.select(F.col("c").alias("b")), "b", "left_semi").select("a", "b"))
