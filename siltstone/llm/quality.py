@@ -5,8 +5,8 @@ not set but estimated: expectation-maximisation over the counts of vote patterns
 The posterior probability of a good document then replaces the demand that all rules pass.
 
 Estimates are the most probable ones under priors, so each iteration raises one objective.  The prior of a
-rule's votes on good documents counts as many documents as the table has, ``SPECIFIC`` of them right: likelihood alone
-explains junk of a single symptom as good documents with a noisy rule.  Votes to the contrary outweigh it in proportion.
+rule's votes on good documents counts ``SPECIFIC_WEIGHT`` times the table's documents, ``SPECIFIC`` of them right: likelihood alone
+explains junk of a single symptom as good documents with a noisy rule.  Votes to the contrary move it in proportion.
 
 Scale: measures are native expressions of one text, made in one pass that writes them, with the rows that the
 caller wants, as a checkpoint.  From there patterns are counted, at most ``3 ** len(RULES)`` rows whatever the table's
@@ -29,7 +29,7 @@ ROUNDS, ENOUGH = 500, 1e-10
 #: What each share is taken to have seen before: right and wrong votes on bad documents, good and bad documents.
 BEFORE = 1.0
 #: Share of right votes on good documents that is expected, with the weight of so many tables.
-SPECIFIC, SPECIFIC_WEIGHT = 0.999, 1.0
+SPECIFIC, SPECIFIC_WEIGHT = 0.999, 30.0
 #: Posterior probability from which a document is kept.
 KEEP = 0.5
 
