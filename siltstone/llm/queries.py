@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, licence_notices, licences, line_dedup, mixing, phrases, pii, quality, url_rules
+from . import decontam, infill, jaccard, langid, licence_notices, licences, line_dedup, main_text, merkle, mixing, phrases, pii, quality, url_rules
 from ..plans.registry import spread
-from .common import table
+from .common import LOWER, UPPER, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,31 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"_{x}").alias(x) for x in base], "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spread(table(spark, sf_dir, "pages"))
+    return main_text.extracted(pages.select("page_id", "url", "html"), main_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    proved = merkle.manifest(documents(spark, sf_dir), found={"text": tampered})
+    return proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_sha256(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.rearranged(documents(spark, sf_dir).select("doc_id", "text"))
+    cut = F.col("form") != "plain"
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.when(cut, F.col("first")).alias("prefix_chars"),
+        F.when(cut, F.col("last") - F.col("first")).alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 _URL_RULES = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in url_rules.RULES)
 
 OP1_SQL = f"""
@@ -166,6 +193,93 @@ select words.doc_id as doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_re
 from words left join kept on words.doc_id = kept.doc_id
 """
 
+
+
+def _remainders() -> list[int]:
+    out = []
+    for half in range(16):
+        for _ in range(4):
+            half = half >> 1 ^ (0xEDB88320 if half & 1 else 0)
+        out.append(half)
+    return out
+
+
+def _level_sql(k: int) -> str:
+    """Nodes of level ``k + 1`` from those of level ``k``: (t, g, p, d, n), a tree's key, its place and the number of its nodes."""
+    return f"""l{k + 1} as (select t, g, p // 8 as p, case when max(n) > 1 then sha256(string_agg(d, '' order by p)) else max(d) end as d, (max(n) + 7) // 8 as n from l{k} group by t, g, p // 8)"""
+
+
+def _siblings_sql(k: int) -> str:
+    """What stands left and right of each node of level ``k`` in its run, where the level has a run."""
+    return f"""s{k} as (select t, g, p, coalesce(string_agg(d, '' order by p) over (partition by t, g, p // 8 order by p rows between unbounded preceding and 1 preceding), '') as a, coalesce(string_agg(d, '' order by p) over (partition by t, g, p // 8 order by p rows between 1 following and unbounded following), '') as b, n > 1 as run from l{k})"""
+
+
+_TREE, _CROWN = 10, 3  # levels: a billion documents a language, 512 languages
+#: The 16 remainders of the reflected polynomial 0xEDB88320 for half a byte.
+_CRC = "[" + ", ".join(str(c) for c in _remainders()) + "]"
+_HALF = lambda x: f"xor(({x}) >> 4, {_CRC}[((({x}) & 15) + 1)])"
+_CRC_SQL = f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)), lambda c, b: {_HALF(_HALF('xor(c, b)'))}))"
+
+
+def _enc(c: str, v: str | None = None) -> str:
+    v = v or f"cast({c} as varchar)"
+    return f"case when {c} is null then '-' else strlen({v}) || ':' || {v} end"
+
+
+def _climb_sql(first: str, last: int, carry: str) -> str:
+    """Folds from level 0 to ``last``: (g, p, x, proof) with x the digest so far."""
+    out, before = [], first
+    for k in range(last):
+        out.append(f"""f{carry}{k} as (select f.id as id, f.g as g, f.p // 8 as p, case when s.run then sha256(s.a || f.x || s.b) else f.x end as x, case when s.run then f.proof || s.a || s.b else f.proof end as proof from {before} f join {carry}s{k} s on f.g = s.g and f.p = s.p)""")
+        before = f"f{carry}{k}"
+    return ", ".join(out)
+
+
+def _renamed(sql: str, prefix: str) -> str:
+    return re.sub(r"\b([ls])(\d+)\b", rf"{prefix}\1\2", sql)
+
+
+OP12_SQL = f"""
+with base as (
+  select row_number() over () as id, doc_id, coalesce('=' || lang, '') as g,
+         sha256({_enc("doc_id")} || {_enc("source")} || {_enc("lang")} || {_enc("n_chars")} || {_enc("text")}) as leaf,
+         case when ({_CRC_SQL}) % 3 = 0
+              then sha256({_enc("doc_id")} || {_enc("source")} || {_enc("lang")} || {_enc("n_chars")} || {_enc("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) end as seen
+  from documents),
+placed as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as p, count(*) over (partition by g) as n from base),
+tl0 as (select 0 as t, g, p, leaf as d, n from placed), {", ".join(_renamed(_level_sql(k), "t") for k in range(_TREE))},
+{", ".join(_renamed(_siblings_sql(k), "t") for k in range(_TREE))},
+crown as (select g as lang, d, row_number() over (order by g) - 1 as p, count(*) over () as n from tl{_TREE}),
+cl0 as (select 0 as t, '' as g, p, d, n from crown), {", ".join(_renamed(_level_sql(k), "c") for k in range(_CROWN))},
+{", ".join(_renamed(_siblings_sql(k), "c") for k in range(_CROWN))},
+start as (select id, g, p, coalesce(seen, leaf) as x, '' as proof from placed),
+{_climb_sql("start", _TREE, "t")},
+over as (select id, '' as g, crown.p as p, x, proof from ft{_TREE - 1} f join crown on crown.lang = f.g),
+{_climb_sql("over", _CROWN, "c")}
+select doc_id, leaf, crown.d as subroot, cl{_CROWN}.d as root, sha256(f.proof) as proof_sha256, f.x as folded_root, f.x = cl{_CROWN}.d as verified
+from placed join fc{_CROWN - 1} f on f.id = placed.id join crown on crown.lang = placed.g cross join cl{_CROWN}
+"""
+
+OP13_SQL = """
+with own as (
+  select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as w
+  from documents),
+drawn as (
+  select *, len(w) as n, ('0x' || h[1:8])::bigint % (len(w) + 1) as one, ('0x' || h[9:16])::bigint % (len(w) + 1) as other,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or ('0x' || h[17:24])::bigint % 100 >= 50 then 'plain'
+              when ('0x' || h[25:32])::bigint % 100 < 80 then 'spm' else 'psm' end as form
+  from own),
+parts as (
+  select *, array_to_string(w[1:least(one, other)], '') as prefix, array_to_string(w[least(one, other) + 1:greatest(one, other)], '') as middle,
+         array_to_string(w[greatest(one, other) + 1:n], '') as suffix
+  from drawn)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(prefix || middle || suffix) as restored_sha256
+from parts
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -180,6 +294,9 @@ QUERIES = {
         op8_license_notices,
         op9_substring_dedup,
         op10_quality_rules,
+        op11_html_extraction,
+        op12_merkle_manifest,
+        op13_fill_in_middle,
     )
 }
 SQL = {
@@ -189,4 +306,6 @@ SQL = {
     "op7_ngram_jaccard": OP7_SQL,
     "op8_license_scans": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
