@@ -141,13 +141,13 @@ def rearranged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text are read, so no other column can clash.
     """
     whole = F.coalesce(F.col(quoted(text_col)), F.lit(""))
-    drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit(""))), 256)
-    own = docs.select(F.col(quoted(id_col)).alias("_id"), whole.alias("_text"), drawn.alias("_drawn")).withColumn("_key", F.coalesce(F.unhex(F.sha2("_text", 256)), F.lit(b"")))
+    own = docs.select(F.col(quoted(id_col)).alias("_id"), whole.alias("_text")).withColumn("_key", F.coalesce(F.unhex(F.sha2("_text", 256)), F.lit(b"")))
     lists = index(own, "_key", "_text")
     number = lambda k: F.conv(F.substring("_drawn", 8 * k + 1, 8), 16, 10).cast("long")
     marked = F.greatest(*[F.contains("_text", F.lit(m)).cast("int") for m in (PREFIX, SUFFIX, MIDDLE)]) > 0
     form = F.when((F.col("_text") == "") | marked | (number(2) % 100 >= rate), "plain").when(number(3) % 100 < suffix_first, "spm").otherwise("psm")
-    joined = own.join(lists.hint("merge"), "_key").select(  # lists grow with the texts: never broadcast
+    drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))), 256)
+    joined = own.join(lists.hint("merge"), "_key").withColumn("_drawn", drawn).select(  # lists grow with the texts: never broadcast
         "_id", "_text", form.alias("form"), "_list", (number(0) % (F.col("_list.n") + 1)).alias("_one"), (number(1) % (F.col("_list.n") + 1)).alias("_other")
     )
     cut = joined.withColumn("_cut", selected(F.col("_list"), F.col("_one"), F.col("_other"))).withColumn("_first", F.col("_cut.first").cast("int")).withColumn("_last", F.col("_cut.last").cast("int"))
