@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; a folder of our own is set only
-    in local mode with none named, since executors on other machines would not see it.
-    """
-    checkpoint_folder(df.sparkSession)
-    with tidy(df.sparkSession):
-        return df.checkpoint(eager=True)
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -41,15 +30,41 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders of stored frames that were not discarded yet, in the order they were written.
+_KEPT: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared checkpoint folder, and read from there."""
+    """``df`` written as Parquet to the shared checkpoint folder, and read from there: what cuts lineage, and survives an executor's loss."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/stored-{uuid.uuid4().hex}"
     with tidy(spark):
         df.write.parquet(path)
+    _KEPT.append(path)
     return spark.read.parquet(path)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, stored; what was stored on the way to it is deleted."""
+    before = set(_KEPT)
+    out = stored(make())
+    last = _KEPT[-1]
+    for path in [p for p in _KEPT if p not in before and p != last]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+@contextmanager
+def phases(spark: SparkSession) -> Iterator[None]:
+    """On leaving it, what was stored within is deleted: for callers that have written an operator's result by then."""
+    before = set(_KEPT)
+    try:
+        yield
+    finally:
+        for path in [p for p in _KEPT if p not in before]:
+            _delete(spark, path)
+
+
 def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     """``df`` as a table in the shared checkpoint folder, dealt by ``key``, and its name: joins on the key do not shuffle it again."""
     spark = df.sparkSession
@@ -64,8 +79,13 @@ def discard(*frames: DataFrame) -> None:
     """Delete the files of stored frames, of which nothing that is still to run reads."""
     for df in frames:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _KEPT[:] = [p for p in _KEPT if p.rpartition("/")[2] != folder.rpartition("/")[2]]
 
 
 def small(df: DataFrame, most_rows: int) -> bool:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, quoted
+from .common import quoted, stored
 
 WINDOW = 10
 #: Characters of benchmark that one automaton takes; about 100 bytes of memory each.
@@ -136,7 +136,7 @@ def _by_shards(rows: DataFrame, parts: list) -> DataFrame:
     found = []
     for find in parts:
         hits = rows.select(*key, find("_text").alias("f")).where(F.size("f.words") > 0)
-        found.append(cut(hits.groupBy("_a", "_b").agg(F.first("f").alias("f")).select("_a", "_b", "f.words", "f.items", "f.spans")))
+        found.append(stored(hits.groupBy("_a", "_b").agg(F.first("f").alias("f")).select("_a", "_b", "f.words", "f.items", "f.spans")))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

@@ -266,9 +266,11 @@ def group_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     wanted = columns.select("c").distinct()
     texts = own.join(wanted, "c", "left_semi").groupBy("c", F.xxhash64("_text").alias("_key")).agg(F.first("_text").alias("_text"))
     sets, listed = bucketed(texts.select("c", _whole("_text").alias("set")), "c")
-    roots = _roots(columns, sets)
-    discard(columns, sets)
-    sets.sparkSession.sql(f"DROP TABLE {listed}")
+    try:
+        roots = _roots(columns, sets)
+    finally:
+        discard(columns, sets)
+        sets.sparkSession.sql(f"DROP TABLE IF EXISTS {listed}")
     # an id with several texts: copies of one may be a class by another id
     same = made.where("n > 0").join(classes.select("digest", F.col("c").alias("a")), "digest").where("a <> c").select("a", F.col("c").alias("b")).distinct()
     same = stored(same.join(classes.select(F.col("c").alias("b")), "b", "left_semi").select("a", "b"))

@@ -215,13 +215,17 @@ def marked(html: str) -> str | None:
 
 
 def fit(pages: DataFrame, *, html_col: str = "html", sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS, seed: int = 11) -> boost.Forest:
-    """Trees from at most ``sample`` pages of at most ``SAMPLE_CHARS`` characters, the least by the hash of their html, and ``layouts`` drawn ones.
+    """Trees from at most ``sample`` pages of at most ``SAMPLE_CHARS`` characters, those of the least hashes of their html, and ``layouts`` drawn ones.
 
+    A first scan counts different pages; of the second only those below a hash that leaves about twice the sample come to the driver.
     Pages without text give none; then layouts are drawn around made-up words.  Rows that repeat count once.
     """
     html = F.col(quoted(html_col))
-    drawn = pages.where(html.isNotNull() & (F.length(html) <= SAMPLE_CHARS)).select(html.alias("html"), F.xxhash64(html).alias("h")).orderBy("h", "html").limit(2 * sample)
-    rows = list(dict.fromkeys(r["html"] for r in drawn.collect()))[:sample]
+    known = pages.where(html.isNotNull() & (F.length(html) <= SAMPLE_CHARS)).select(html.alias("html"), F.shiftrightunsigned(F.xxhash64(html), 1).alias("h"))
+    different = known.agg(F.approx_count_distinct("h")).first()[0]
+    below = int(2 * sample / max(different, 2 * sample) * ((1 << 63) - 1))
+    drawn = known.where(F.col("h") <= below).distinct()
+    rows = [r["html"] for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["html"]))][:sample]
     outlines = [Outline(m) for m in map(marked, rows) if m]
     long, short = page_layouts.material(Outline(r) for r in rows)
     rng = random.Random(seed)

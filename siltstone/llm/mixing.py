@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, n_words_of, quoted, small
+from .common import discard, n_words_of, quoted, small, stored
 
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix takes, and the most that it takes of a source, in times its size.
@@ -98,7 +98,8 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         final = hit & (F.col("_one") | F.lit(last))
         ending = F.shiftleft(F.col("_bucket") + 1, 64 - done - BITS)  # 0: past the last hash
         active = ~F.col("over")
-        state = cut(
+        former = [state] if done else []
+        state = stored(
             joined.select(
                 "source",
                 "source_size",
@@ -112,6 +113,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
                 F.when(active & final, nearer & (ending == 0)).when(active & ~hit & (F.col("rest") > 0) & F.lit(done == 0), F.lit(True)).otherwise(F.col("whole")).alias("whole"),
             )
         )
+        discard(*former)
         if state.where(~F.col("over")).isEmpty():
             break
     return state.select("source", "source_size", "target", "copies", "below", "whole")
@@ -146,7 +148,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
 def decided(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target, copies, below, whole): for each source of (source, size, hash) what is taken of it."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return thresholds(sized, cut(targets(sizes, weights, share, most)))
+    return thresholds(sized, stored(targets(sizes, weights, share, most)))
 
 
 def mix(
@@ -167,7 +169,7 @@ def mix(
     source in which all rows are equal can't be split: then the nearer of none and all is taken.  Of texts only words are counted,
     whatever their length.  No other column is read, so none can clash.
     """
-    sized = cut(measured(docs, id_col, text_col, source_col))
+    sized = stored(measured(docs, id_col, text_col, source_col))
     found = decided(sized, weights, share, most)
     out = with_source(sized, found, small(found, FEW_SOURCES))
     return out.select(
@@ -184,7 +186,7 @@ def mix_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Nothing is joined by document: a row's own hash meets its source's threshold.
     """
-    found = decided(cut(measured(docs, id_col, text_col, source_col)), weights, share, most)
+    found = decided(stored(measured(docs, id_col, text_col, source_col)), weights, share, most)
     given = [c for c in docs.columns if c not in ("copies", "taken")]
     id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in given]).alias("_row"), F.col(quoted(source_col)).alias("source"), n_words_of(text).alias("size"), hash_of(id_, text).alias("hash"))

@@ -4,23 +4,24 @@ Each rule votes good, votes bad, or abstains.  How right its votes are on good a
 not set but estimated: expectation-maximisation over the counts of vote patterns in the whole table.
 The posterior probability of a good document then replaces the demand that all rules pass.
 
-Estimates are the most probable ones under priors, so each iteration raises one objective.  The prior of a
-rule's votes on good documents counts ``SPECIFIC_WEIGHT`` times the table's documents, ``SPECIFIC`` of them right: likelihood alone
-explains junk of a single symptom as good documents with a noisy rule.  Votes to the contrary move it in proportion.
+Estimates are the most probable ones under priors worth some tens of documents, which any table outvotes: a rule that is wrong on a third
+of the good documents is found to be so, and its vote alone then rejects none.  What tells junk of one symptom from a noisy rule is that
+each symptom is measured in more than one way (``GROUPS``): on good documents rules of a group are wrong apart, on junk they are right together.
 
-Scale: measures are native expressions of one text, made in one pass that writes them, with the rows that the
-caller wants, as a checkpoint.  From there patterns are counted, at most ``3 ** len(RULES)`` rows whatever the table's
-size, the driver runs the iterations over these, and the posterior is a column expression.  No text is shuffled.
+Scale: measures are native expressions of one text, made in one pass that writes them, with the columns that the
+caller wants, as a table.  From there patterns are counted, at most ``3 ** len(RULES)`` rows whatever the table's
+size and in practice some hundreds, the driver runs the iterations over these, and the posterior is a column expression.  No text is shuffled.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, cut, quoted, words_of
+from .common import BLANK, quoted, stored, words_of
 
 #: Words of a window whose repetition counts.
 REPEAT = 8
@@ -28,12 +29,12 @@ REPEAT = 8
 ROUNDS, ENOUGH = 500, 1e-10
 #: What each share is taken to have seen before: right and wrong votes on bad documents, good and bad documents.
 BEFORE = 1.0
-#: Share of right votes on good documents that is expected, with the weight of so many tables.
-SPECIFIC, SPECIFIC_WEIGHT = 0.999, 30.0
+#: Votes on good documents that each rule is taken to have cast before, and the share of them that was right.
+BEFORE_GOOD, RIGHT_BEFORE = 20.0, 0.99
 #: Posterior probability from which a document is kept.
 KEEP = 0.5
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaim", "n_capitals", "n_letters", "n_stutter"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaim", "n_capitals", "n_letters", "n_stutter", "n_symbolic", "n_bare", "n_symbol_runs"]
 
 #: name, measure, votes good at most / at least, votes bad from; the sign says which side is bad.
 RULES: list[tuple[str, str, float, float]] = [
@@ -47,7 +48,17 @@ RULES: list[tuple[str, str, float, float]] = [
     ("lines", "n_dup_lines / n_lines", 0.1, 0.5),
     ("repeats", "n_repeat_words / n_words", 0.1, 0.3),
     ("stutter", "n_stutter / n_words", 0.05, 0.3),
+    ("symbolic_words", "n_symbolic / n_words", 0.05, 0.3),
+    ("bare_words", "n_bare / n_words", 0.05, 0.3),
+    ("symbol_runs", "n_symbol_runs / n_words", 0.02, 0.2),
 ]
+#: Rules that look at one symptom, each in its own way.
+GROUPS = {
+    "symbols": ("symbols", "symbolic_words", "bare_words", "symbol_runs", "letters"),
+    "repetition": ("lines", "repeats", "stutter"),
+    "shouting": ("exclaiming", "capitals"),
+    "odd words": ("long_words", "short_words", "letters"),
+}
 
 
 def measures(docs: DataFrame, text: Column) -> DataFrame:
@@ -88,6 +99,9 @@ def measures(docs: DataFrame, text: Column) -> DataFrame:
         "n_capitals": count(r"\p{Lu}{2,}"),
         "n_letters": F.length(F.regexp_replace("_text", r"\P{L}+", "")),
         "n_stutter": stutter,
+        "n_symbolic": count(f"(?<![^{BLANK}])[^{BLANK}#*$%&|<>]*+[#*$%&|<>]"),
+        "n_bare": count(rf"(?<![^{BLANK}])[^{BLANK}\p{{L}}\p{{N}}]++(?![^{BLANK}])"),
+        "n_symbol_runs": count("[#*$%&|<>]{2,}+"),
     }
     return step3.select(*[F.col(quoted(c)) for c in docs.columns], *[made[x].cast("long").alias(f"_{x}") for x in MEASURES])
 
@@ -120,28 +134,26 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int) -> dict:
     any rule says so.  No documents: the estimates are their priors.  ``objective`` has the logarithm of what is maximised,
     up to a constant, after each iteration; it never falls.
     """
-    weigh = [(v, n, 0.01 if -1 in v else 0.99) for v, n in sorted(patterns)]
-    total = sum(n for _, n, _ in weigh)
-    sure, doubt = max(total * SPECIFIC_WEIGHT, 1) * SPECIFIC, max(total * SPECIFIC_WEIGHT, 1) * (1 - SPECIFIC)
+    patterns = sorted(patterns)
+    votes = np.array([v for v, _ in patterns], dtype=np.int8).reshape(len(patterns), rules)
+    n = np.array([k for _, k in patterns], dtype=np.float64)
+    says_good, says_bad = (votes == 1).astype(np.float64), (votes == -1).astype(np.float64)
+    p = np.where((votes == -1).any(axis=1), 0.01, 0.99)
+    sure, doubt = BEFORE_GOOD * RIGHT_BEFORE, BEFORE_GOOD * (1 - RIGHT_BEFORE)
     model: dict = {"objective": []}
     for _ in range(ROUNDS):
-        good = sum(n * p for _, n, p in weigh)
-        prior = (good + BEFORE) / (total + 2 * BEFORE)
-        on_good, on_bad = [], []
-        for j in range(rules):
-            hit, miss, let, caught = (sum(n * (p if on else 1 - p) for v, n, p in weigh if v[j] == vote) for on, vote in ((True, 1), (True, -1), (False, 1), (False, -1)))
-            on_good.append((hit + sure) / (hit + miss + sure + doubt))
-            on_bad.append((caught + BEFORE) / (caught + let + 2 * BEFORE))
-        value = BEFORE * math.log(prior * (1 - prior)) + sum(sure * math.log(a) + doubt * math.log(1 - a) for a in on_good) + sum(BEFORE * math.log(c * (1 - c)) for c in on_bad)
-        for k, (v, n, _) in enumerate(weigh):
-            g, b = math.log(prior), math.log(1 - prior)
-            for x, a, c in zip(v, on_good, on_bad, strict=True):
-                g += math.log(a if x == 1 else 1 - a) if x else 0.0
-                b += math.log(c if x == -1 else 1 - c) if x else 0.0
-            both = max(g, b) + math.log1p(math.exp(-abs(g - b)))
-            value += n * both
-            weigh[k] = (v, n, math.exp(g - both))
-        model |= {"prior": prior, "on_good": on_good, "on_bad": on_bad}
+        good, bad = n * p, n * (1 - p)
+        prior = (good.sum() + BEFORE) / (n.sum() + 2 * BEFORE)
+        hit, miss, let, caught = good @ says_good, good @ says_bad, bad @ says_good, bad @ says_bad
+        on_good = (hit + sure) / (hit + miss + sure + doubt)
+        on_bad = (caught + BEFORE) / (caught + let + 2 * BEFORE)
+        g = math.log(prior) + says_good @ np.log(on_good) + says_bad @ np.log(1 - on_good)
+        b = math.log(1 - prior) + says_good @ np.log(1 - on_bad) + says_bad @ np.log(on_bad)
+        both = np.logaddexp(g, b)
+        before = BEFORE * math.log(prior * (1 - prior)) + (sure * np.log(on_good) + doubt * np.log(1 - on_good)).sum() + (BEFORE * np.log(on_bad * (1 - on_bad))).sum()
+        value = float(before + n @ both)
+        p = np.exp(g - both)
+        model |= {"prior": float(prior), "on_good": on_good.tolist(), "on_bad": on_bad.tolist()}
         model["objective"].append(value)
         if len(model["objective"]) > 1 and value - model["objective"][-2] <= ENOUGH * max(1.0, abs(value)):
             break
@@ -171,11 +183,12 @@ def judge(docs: DataFrame, *, text_col: str = "text", keep: float = KEEP, with_t
     names = [r[0] for r in RULES]
     new = [*[f"_{x}" for x in MEASURES], "base_failed", "p_good", "kept"]
     given = [c for c in docs.columns if c not in new and (with_text or c != text_col)]
-    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in given] or [F.lit(0)]).alias("_row"), F.col(quoted(text_col)).alias("_t"))
-    made = cut(measures(rows, F.col("_t")).drop("_t"))
+    # under plain names, since a table may hold no two that differ in case only
+    rows = docs.select(F.struct(F.lit(0).alias("c"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(given)]).alias("_row"), F.col(quoted(text_col)).alias("_t"))
+    made = stored(measures(rows, F.col("_t")).drop("_t"))
     voted = made.select("*", *[v.alias(f"_v_{x}") for v, x in zip(votes(), names, strict=True)])
     voting = [f"_v_{x}" for x in names]
     counted = voted.groupBy(*voting).agg(F.count("*").alias("n")).collect()  # 3 ** len(RULES) rows at most
     model = fit([(tuple(r[x] for x in voting), r["n"]) for r in counted], len(names))
     judged = voted.withColumn("base_failed", base_failed()).withColumn("p_good", posterior(model, voting)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep))
-    return judged.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in given], *new)
+    return judged.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(given)], *new)
