@@ -85,8 +85,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again in the shared checkpoint folder."""
+    """All stages on ``documents``, each written and read again in the shared checkpoint folder.
+
+    What a stage stored on its way is deleted once it is written, and its input once the next one is.
+    """
     docs = common.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        done = common.settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if k:
+            common.discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
