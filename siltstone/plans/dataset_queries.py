@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup_keys, merged_list
+from ..sources import shared
+from ..sources.kept import KeptDataset
 from . import dataset, mapping
 from .fields import field_of, merged
-from .registry import query, table
+from .registry import SQL, query, table
 
 _DET = "case when p_size % 3 = 0 then null when p_size % 3 = 1 then '' else p_brand end"
 _LLM = "case when p_size % 4 = 0 then null else p_type end"
@@ -77,10 +79,25 @@ select coalesce(new.c_name, old.c_name) as c_name, coalesce(new.c_mktsegment, ol
  case when old.seq is not null then '2020' else '2021' end as extraction_date, case when new.seq is null then '2020' else '2021' end as last_updated,
  case when new.seq is null then 'Unchanged' when old.seq is not null then 'Updated' else 'Inserted' end as operation from old full join new on lower(trim(old.c_name)) = lower(trim(new.c_name))""")
 def upsert_dataset(spark, sf_dir):
+    old, new = _customer_batches(spark, sf_dir)
+    return dataset.upserted(old.withColumns({"extraction_date": F.lit("2020"), "last_updated": F.lit("2020")}), new, ["c_name"], now="2021")
+
+
+def _customer_batches(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seq"), "c_name", "c_mktsegment")
-    old = c.where("seq % 3 <> 0").withColumns({"extraction_date": F.lit("2020"), "last_updated": F.lit("2020")})
     new = c.where("seq % 2 = 0 or seq % 3 = 0").select("seq", F.concat(F.upper("c_name"), F.lit(" ")).alias("c_name"), F.expr("case when seq % 2 = 0 then '' else concat(c_mktsegment, '2') end").alias("c_mktsegment"))
-    return dataset.upserted(old, new, ["c_name"], now="2021")
+    return c.where("seq % 3 <> 0"), new
+
+
+@query(SQL["upsert_dataset"])
+def upsert_buckets(spark, sf_dir):
+    """The same two batches merged one after the other into a dataset of buckets in the shared folder."""
+    old, new = _customer_batches(spark, sf_dir)
+    kept = KeptDataset(spark, shared.fresh(spark, "kept"), ["c_name"], buckets=16)
+    kept.merge(old, now="2020")
+    kept.merge(new, now="2021")
+    rows = kept.read()
+    return rows.withColumn("operation", F.when(F.col("last_updated") == "2020", "Unchanged").when(F.col("extraction_date") == "2020", "Updated").otherwise("Inserted"))
 
 
 _OUTCOME = "case when event_id % 7 = 0 then 'failed' when event_id % 101 = 0 then 'cancelled' else 'success' end"

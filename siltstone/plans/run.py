@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import validate
 from ..functions.text import RESERVED, is_empty, quoted
+from ..sources import shared
 from . import answers, dataset, fields, mapping, records
 from .pages import pages_with
 from .schema import Schema, Site, profile_of
@@ -40,6 +41,11 @@ def in_memory(name: str, stage: DataFrame) -> DataFrame:
     return stage
 
 
+def in_shared(name: str, stage: DataFrame) -> DataFrame:
+    """Keeps what is dear to make anew, pages as they were read and records as they were checked, in the shared folder."""
+    return shared.stored(name, stage) if name in ("parsed", "mapped") else stage
+
+
 def snapshots(folder: str) -> Keep:
     """Every stage as Parquet in a folder of its own, so that each is computed once and can be looked at."""
 
@@ -100,7 +106,7 @@ def mapped_records(valid: DataFrame, schema: Schema) -> DataFrame:
         "unmapped_fields": count([f for f in known if homes[f] is None]),
     }
     meta = {"source_url": F.col("source_url"), "page_title": F.col("page_title")}
-    return done.select("page_id", F.col("source_url").alias("_url"), *map(quoted, columns), *[F.coalesce(meta[m], F.lit("")).alias(c) for m, c in schema.metadata_columns().items()], "coverage", *[v.cast("long").alias(k) for k, v in counts.items()], "paths")
+    return done.select("page_id", F.col("source_url").alias("_url"), F.col("page_title").alias("_title"), *map(quoted, columns), *[F.coalesce(meta[m], F.lit("")).alias(c) for m, c in schema.metadata_columns().items()], "coverage", *[v.cast("long").alias(k) for k, v in counts.items()], "paths")
 
 
 def required_checked(rows: DataFrame, schema: Schema) -> DataFrame:
@@ -126,12 +132,14 @@ class Result:
     failed: DataFrame
 
 
-def run_pages(pages: DataFrame, schema: Schema, recorded: DataFrame, old: DataFrame | None = None, *, site: Site | None = None, now: str, keep: Keep = in_memory) -> Result:
+def run_pages(pages: DataFrame, schema: Schema, recorded: DataFrame, old: DataFrame | None = None, *, site: Site | None = None, now: str, keep: Keep | None = None) -> Result:
     """Pages (page_id, url, html, and ``load_error`` if loading can fail) with recorded answers (page_id, answer) into a dataset.
 
     ``old`` is the dataset so far, with the columns that a run gives; the rows of the run are kept in it by the schema's keys.
-    A page that fails, or whose answer does, is in ``failed`` and stops nothing.
+    A page that fails, or whose answer does, is in ``failed`` and stops nothing.  Pages are read, and answers mended, once: by default what
+    they gave is kept in the folder that all executors share, and every output starts from there.
     """
+    keep = keep or in_shared
     site = site or Site("default")
     shape = {"columns": schema.own_columns(), "aliases": {a: f for a, f in schema.aliases().items()}}
     loaded = pages if "load_error" in pages.columns else pages.withColumn("load_error", F.lit(None).cast("string"))
@@ -140,8 +148,7 @@ def run_pages(pages: DataFrame, schema: Schema, recorded: DataFrame, old: DataFr
     answered = said.withColumn("answer", records.typed(records.coerced_json(answers.repaired_json(F.col("answer")), schema), schema))
     merged = keep("merged", records.with_generic_fallbacks(merged_answers(answered.where("load_error is null and page.error is null"), schema)))
     valid = keep("validated", validate.ranges(validate.validated(merged)))
-    mapped = mapped_records(valid, schema).join(valid.select("page_id", F.col("page_title").alias("_title")), "page_id")
-    checked = keep("mapped", required_checked(mapped, schema))
+    checked = keep("mapped", required_checked(mapped_records(valid, schema), schema))
     good, rejected = checked.where(F.size("missing") == 0), checked.where(F.size("missing") > 0)
 
     columns = schema.columns()

@@ -25,17 +25,27 @@ def from_folder(folder: str) -> list[tuple[str, str, int]]:
     return out
 
 
+#: Domains of sites that are broadcast at most: they are configurations, not data; more are joined by a shuffle.
+MOST_SITES = 100_000
+
+
 def matched(pages: DataFrame, sites: DataFrame, *, default: str = "default") -> DataFrame:
     """``pages`` with ``domain`` and ``site``: that of the highest priority whose domain is the page's or a parent of it.
 
-    A page asks for each of its domain's suffixes, of which there are a few, so the join is on equality;
-    the best is picked from a map of suffix to site that is small enough to travel with each task, or,
-    above Spark's broadcast threshold, by the same join shuffled.
+    Of sites with one domain the best is picked first.  A page then looks up the end of its domain that has one label, two, and so on up to the
+    longest domain that a site has, each in a table of the sites of that many labels that travels with the tasks, and keeps
+    the best of what it found.  Pages are neither shuffled nor made longer.
     """
-    named = pages.withColumn("domain", domain(F.col("url")))
-    labels = F.split("domain", r"\.")
-    hosts = named.select("domain").distinct().withColumn("labels", labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: F.array_join(F.slice("labels", k, F.size("labels")), "."))
-    asked = hosts.select("domain", F.explode(suffixes).alias("site_domain"))
-    best = asked.join(sites, "site_domain").groupBy("domain").agg(F.max_by("site", F.struct("priority", -F.col("ord"))).alias("site"))
-    return named.join(best, "domain", "left").withColumn("site", F.coalesce("site", F.lit(default)))
+    labels = F.size(F.split("site_domain", r"\."))
+    best = sites.groupBy("site_domain").agg(F.max(F.struct("priority", (-F.col("ord")).alias("ord"), "site")).alias("found"))
+    longest = sites.agg(F.max(labels), F.count("*")).first()
+    out = pages.withColumn("domain", domain(F.col("url")))
+    parts, found = F.split("domain", r"\."), []
+    for k in range(1, (longest[0] or 0) + 1):
+        some = best.where(labels == k).select(F.col("site_domain").alias(f"_d{k}"), F.col("found").alias(f"_s{k}"))
+        end = F.when(F.size(parts) >= k, F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
+        out = out.join(F.broadcast(some) if longest[1] <= MOST_SITES else some, end == F.col(f"_d{k}"), "left").drop(f"_d{k}")
+        found.append(f"_s{k}")
+    top = F.greatest(*found) if len(found) > 1 else F.col(found[0]) if found else None
+    site = top["site"] if top is not None else F.lit(None).cast("string")
+    return out.withColumn("site", F.coalesce(site, F.lit(default))).drop(*found)
