@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from .schema import Schema
 
-#: What follows a stage that a field did not pass, in the order of the stages.
+# What follows a stage that a field did not pass, in the order of the stages.
 REASONS = {
     "Raw HTML": "Field does not exist on webpage.",
     "Cleaned HTML": "Removed during HTML preprocessing (cleaning).",
@@ -22,59 +22,98 @@ REASONS = {
 TEXTS = ("raw", "clean", "relevant", "blocks")
 
 
-def said(text: Column, names: list[str], value: Column) -> Column:
-    """Whether a stage's text has the value or one of the field's names, whatever their case."""
-    low, v = F.lower(F.coalesce(text, F.lit(""))), F.lower(strip(F.coalesce(value, F.lit(""))))
-    out = (v != "") & low.contains(v)
+def said(text: Column, names: list[str], values: list[Column]) -> Column:
+    """Whether a text in lower case has one of a field's names or values, whatever their case."""
+    out = F.lit(False)
     for n in names:
-        out = out | low.contains(n.lower().strip())
+        out = out | F.coalesce(text.contains(n.lower().strip()), F.lit(False))
+    for v in values:
+        low = F.lower(strip(F.coalesce(v, F.lit(""))))
+        out = out | ((low != "") & F.coalesce(text.contains(low), F.lit(False)))
     return out
 
 
-def journeys(pages: DataFrame, schema: Schema, columns: dict[str, str]) -> DataFrame:
-    """(page_id, field, a column a stage, final_source, first_loss, reason), a row for each page and field of the schema.
+#: What is known of each field of a page, a bit a field in words of ``WORD_BITS``.
+MASKS = (*TEXTS, "solved", "asked", "answered", "valid", "written")
+WORD_BITS = 62
+
+
+def _ordered(schema: Schema) -> list:
+    return sorted(schema.fields, key=lambda f: f.name)
+
+
+def masks(schema: Schema, columns: dict[str, str], *, texts: dict[str, Column], solved: Column, asked: Column, answered: Column, valid: Column, written: Column) -> Column:
+    """A struct of ``MASKS`` for a row that holds a page's texts, ``solved`` and ``asked`` (arrays of fields), ``answered`` and ``valid`` (maps by field) and ``written`` (by column).
 
-    ``pages`` has the texts ``raw``, ``clean``, ``relevant`` and ``blocks``; ``solved`` and ``asked``, arrays of fields; and the maps
-    ``answered``, ``valid`` (both by field) and ``written`` (by column).  ``columns`` are the columns of fields that have one.  Each page gives its
-    rows by itself: no shuffle.
+    ``columns`` are the columns of fields that have one; texts are in lower case.  What is as long as the page need not outlive the row.
     """
-    made = []
-    for f in sorted(schema.fields, key=lambda f: f.name):
+    given = {**texts, "solved": solved, "asked": asked, "answered": answered, "valid": valid, "written": written}
+    # bound once: spelled out, the expressions behind these would be there for every field and mask
+    bound = F.array(F.struct(*[c.alias(m) for m, c in given.items()]))
+    return F.get(F.transform(bound, lambda row: _masks(row, _ordered(schema), columns)), F.lit(0))
+
+
+def _masks(row: Column, fields: list, columns: dict[str, str]) -> Column:
+    flags: dict[str, list[Column]] = {m: [] for m in MASKS}
+    for f in fields:
         names = list(dict.fromkeys([f.name, f.name.replace("_", " "), *f.aliases]))
-        of = lambda m, key: F.nullif(F.element_at(F.col(m), F.lit(key)), F.lit(""))
-        answer, valid = of("answered", f.name), of("valid", f.name)
-        value = F.coalesce(valid, answer)
-        seen, passed = {}, F.lit(True)
+        of = lambda m, key: F.nullif(F.element_at(row[m], F.lit(key)), F.lit(""))
+        own, answer = of("valid", f.name), of("answered", f.name)
         for t in TEXTS:
-            passed = passed & said(F.col(t), names, value)
-            seen[t] = passed
-        solved, asked = F.array_contains("solved", f.name), F.array_contains("asked", f.name)
-        prompt = F.when(solved, "SKIPPED (already solved)").when(asked, "INCLUDED").otherwise("NOT APPLICABLE")
-        model = F.when(solved | ~asked, "NOT REQUESTED").when(answer.isNotNull(), "YES").otherwise("NULL")
-        checked = F.when(solved | (asked & answer.isNotNull()), F.when(valid.isNotNull(), "PASSED").otherwise("REJECTED")).otherwise("NOT EXECUTED")
-        written = of("written", columns[f.name]) if f.name in columns else F.lit(None).cast("string")
-        mapped = F.when(checked != "PASSED", "EMPTY").when(written.isNotNull(), "PASSED").otherwise("DROPPED")
-        loss = F.when(~seen["raw"], "Raw HTML").when(~seen["clean"], "Cleaned HTML").when(~seen["relevant"], "Relevant DOM").when(~seen["blocks"], "DOM Blocks")
-        loss = loss.when(checked == "REJECTED", "Validator").when(~solved & asked & answer.isNull(), "LLM Extraction").when(mapped == "DROPPED", "Schema Mapper").when(~solved & ~asked, "Deterministic Extraction")
-        yes = lambda c: F.when(c, "YES").otherwise("NO")
-        source = F.when(mapped != "PASSED", "None").when(solved, "Deterministic").otherwise("LLM")
-        made.append(
-            F.struct(
-                F.lit(f.name).alias("field"),
-                *[yes(seen[t]).alias(t) for t in TEXTS],
-                yes(solved).alias("deterministic"),
-                prompt.alias("prompt"),
-                model.alias("llm"),
-                checked.alias("validator"),
-                mapped.alias("mapper"),
-                F.when(mapped == "PASSED", "WRITTEN").otherwise("EMPTY").alias("dataset"),
-                source.alias("final_source"),
-                loss.alias("first_loss"),
-            )
-        )
-    rows = pages.select("page_id", F.explode(F.array(*made)).alias("j")).select("page_id", "j.*")
+            flags[t].append(said(row[t], names, [own, answer]))
+        flags["solved"].append(F.array_contains(row["solved"], f.name))
+        flags["asked"].append(F.array_contains(row["asked"], f.name))
+        flags["answered"].append(answer.isNotNull())
+        flags["valid"].append(own.isNotNull())
+        flags["written"].append(of("written", columns[f.name]).isNotNull() if f.name in columns else F.lit(False))
+
+    def word(bits: list[Column]) -> Column:
+        return sum((F.when(b, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, b in enumerate(bits)), F.lit(0).cast("long"))
+
+    return F.struct(*[F.array(*[word(bits[k : k + WORD_BITS]) for k in range(0, max(1, len(bits)), WORD_BITS)]).alias(m) for m, bits in flags.items()])
+
+
+def opened(rows: DataFrame, seen: Column, schema: Schema) -> DataFrame:
+    """(page_id, field, a column a stage, final_source, first_loss, reason), a row for each page and field, of the masks ``seen``.
+
+    Each page gives its rows by itself: no shuffle.
+    """
+    names = F.array(*[F.lit(f.name) for f in _ordered(schema)])
+    each = rows.select("page_id", seen.alias("_seen"), F.posexplode(names).alias("_k", "field"))
+    bit = lambda m: F.call_function("shiftright", F.get(F.col(f"_seen.{m}"), F.floor(F.col("_k") / WORD_BITS).cast("int")), F.col("_k") % WORD_BITS).bitwiseAND(F.lit(1)) == 1
+    flags = each.select("page_id", "field", *[bit(m).alias(f"_{m}") for m in MASKS])
+    on = {m: F.col(f"_{m}") for m in MASKS}
+    for before, t in zip(TEXTS, TEXTS[1:], strict=False):
+        on[t] = on[before] & on[t]  # what one stage lost no later one has
+    solved, asked, answered = on["solved"], on["asked"], on["answered"]
+    yes = lambda c: F.when(c, "YES").otherwise("NO")
+    staged = flags.select(
+        "page_id",
+        "field",
+        *[yes(on[t]).alias(t) for t in TEXTS],
+        yes(solved).alias("deterministic"),
+        F.when(solved, "SKIPPED (already solved)").when(asked, "INCLUDED").otherwise("NOT APPLICABLE").alias("prompt"),
+        F.when(solved | ~asked, "NOT REQUESTED").when(answered, "YES").otherwise("NULL").alias("llm"),
+        F.when(solved | (asked & answered), F.when(on["valid"], "PASSED").otherwise("REJECTED")).otherwise("NOT EXECUTED").alias("validator"),
+        on["written"].alias("_written"),
+    )
+    mapped = staged.withColumn("mapper", F.when(F.col("validator") != "PASSED", "EMPTY").when(F.col("_written"), "PASSED").otherwise("DROPPED"))
+    lost = F.when(F.lit(False), F.lit(""))
+    for t, stage in zip(TEXTS, REASONS, strict=False):
+        lost = lost.when(F.col(t) == "NO", stage)
+    lost = lost.when(F.col("validator") == "REJECTED", "Validator").when(F.col("llm") == "NULL", "LLM Extraction").when(F.col("mapper") == "DROPPED", "Schema Mapper").when(F.col("prompt") == "NOT APPLICABLE", "Deterministic Extraction")
+    arrived = F.col("mapper") == "PASSED"
+    source = F.when(~arrived, "None").when(F.col("deterministic") == "YES", "Deterministic").otherwise("LLM")
+    out = mapped.drop("_written").withColumns({"dataset": F.when(arrived, "WRITTEN").otherwise("EMPTY"), "final_source": source, "first_loss": lost})
     why = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
-    return rows.withColumn("reason", F.element_at(why, F.col("first_loss")))
+    return out.withColumn("reason", F.element_at(why, F.col("first_loss")))
+
+
+def journeys(pages: DataFrame, schema: Schema, columns: dict[str, str]) -> DataFrame:
+    """:func:`opened` of pages with the columns that :func:`masks` reads, each under its name."""
+    pages = pages.withColumns({t: F.lower(t) for t in TEXTS})
+    seen = masks(schema, columns, texts={t: F.col(t) for t in TEXTS}, **{m: F.col(m) for m in ("solved", "asked", "answered", "valid", "written")})
+    return opened(pages.select("page_id", seen.alias("seen")), F.col("seen"), schema)
 
 
 def loss_counts(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import validate
 from ..functions.text import RESERVED, is_empty, quoted
 from ..sources import shared
-from . import answers, dataset, fields, mapping, records
+from . import answers, dataset, fields, journey, mapping, records
 from .pages import pages_with
 from .schema import Schema, Site, profile_of
 
@@ -32,6 +32,7 @@ DEFAULT_ALIASES = {
     "area_max": ["Maximum Area", "max_area", "area max"],
 }
 NORMALISED = ("investment_required", "franchise_fee", "royalty", "area_required", "expected_hours", "phone", "email", "website")
+
 #: Reasons that another try may mend.
 TRANSIENT = ("timeout", "timed out", "connection", "429", "rate", "503", "502")
 
@@ -81,15 +82,24 @@ def merged_answers(parsed: DataFrame, schema: Schema) -> DataFrame:
         out.append((F.array_join(F.from_json(value, "array<string>"), ", ") if f.type == "array" else value).alias(f.name))
         sources.append(source)
     from_page, from_model = dataset.provenance([f.name for f in schema.fields], sources)
-    return parsed.select("page_id", F.col("url").alias("source_url"), F.col("page.title").alias("page_title"), F.col("page.page_type").alias("page_type"), *out, from_page.alias("fields_from_dom"), from_model.alias("fields_from_llm"))
+    trace = []
+    if "_texts" in parsed.columns:
+        names = F.array(*[F.lit(f.name) for f in schema.fields])
+        solved = F.split(from_page, ", ")
+        answered = F.map_from_arrays(names, F.array(*out))
+        trace = [F.struct("_texts", solved.alias("solved"), F.array_except(names, solved).alias("asked"), answered.alias("answered")).alias("_trace")]
+    return parsed.select("page_id", F.col("url").alias("source_url"), F.col("page.title").alias("page_title"), F.col("page.page_type").alias("page_type"), *out, from_page.alias("fields_from_dom"), from_model.alias("fields_from_llm"), *trace)
 
 
 def mapped_records(valid: DataFrame, schema: Schema) -> DataFrame:
     """``page_id``, the dataset's columns with those of the pipeline's own values, ``coverage``, the counts behind it and ``paths``."""
-    own = ["page_id", "source_url", "page_title", "page_type", "fields_from_dom", "fields_from_llm"]
+    own = ["page_id", "source_url", "page_title", "page_type", "fields_from_dom", "fields_from_llm", *(["_trace", "_valid"] if "_trace" in valid.columns else [])]
     known = [c for c in valid.columns if c not in own and c not in ("normalized_from", *RESERVED)]
     names = aliases_of(schema, known)
     columns = schema.own_columns()
+    if "_trace" in valid.columns:
+        named = [f.name for f in schema.fields if f.name in valid.columns]
+        valid = valid.withColumn("_valid", F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*[F.col(f).cast("string") for f in named])))
     flat = valid.select(*own, *[F.col(c).cast("string").alias(c) for c in known])
     done = mapping.mapped(flat, columns, names, keys=own, overflow=schema.overflow, tell=True)
     homes = {f: names.column_for(f, columns)[0] for f in known}
@@ -106,7 +116,20 @@ def mapped_records(valid: DataFrame, schema: Schema) -> DataFrame:
         "unmapped_fields": count([f for f in known if homes[f] is None]),
     }
     meta = {"source_url": F.col("source_url"), "page_title": F.col("page_title")}
-    return done.select("page_id", F.col("source_url").alias("_url"), F.col("page_title").alias("_title"), *map(quoted, columns), *[F.coalesce(meta[m], F.lit("")).alias(c) for m, c in schema.metadata_columns().items()], "coverage", *[v.cast("long").alias(k) for k, v in counts.items()], "paths")
+    seen = []
+    if "_trace" in own:
+        places = {f: c for f in known if (c := homes[f]) in columns}
+        seen = [
+            journey.masks(
+                schema,
+                places,
+                texts={t: F.col(f"_trace._texts.{t}") for t in journey.TEXTS},
+                **{m: F.col(f"_trace.{m}") for m in ("solved", "asked", "answered")},
+                valid=F.col("_valid"),
+                written=F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(quoted(c)) for c in columns])),
+            ).alias("_seen")
+        ]
+    return done.select("page_id", *seen, F.col("source_url").alias("_url"), F.col("page_title").alias("_title"), *map(quoted, columns), *[F.coalesce(meta[m], F.lit("")).alias(c) for m, c in schema.metadata_columns().items()], "coverage", *[v.cast("long").alias(k) for k, v in counts.items()], "paths")
 
 
 def required_checked(rows: DataFrame, schema: Schema) -> DataFrame:
@@ -130,20 +153,27 @@ class Result:
     rejected: DataFrame
     summary: DataFrame
     failed: DataFrame
+    journeys: DataFrame | None = None
 
 
-def run_pages(pages: DataFrame, schema: Schema, recorded: DataFrame, old: DataFrame | None = None, *, site: Site | None = None, now: str, keep: Keep | None = None) -> Result:
+def run_pages(pages: DataFrame, schema: Schema, recorded: DataFrame, old: DataFrame | None = None, *, site: Site | None = None, now: str, keep: Keep | None = None, trace: bool = False) -> Result:
     """Pages (page_id, url, html, and ``load_error`` if loading can fail) with recorded answers (page_id, answer) into a dataset.
 
     ``old`` is the dataset so far, with the columns that a run gives; the rows of the run are kept in it by the schema's keys.
     A page that fails, or whose answer does, is in ``failed`` and stops nothing.  Pages are read, and answers mended, once: by default what
     they gave is kept in the folder that all executors share, and every output starts from there.
+    With ``trace`` it also gives ``journeys``, which stages each field of a page that was read came through and which lost it; the texts of the
+    stages then travel with a page's row as far as the mapping, where a bit for each field and stage is left of them.
     """
     keep = keep or in_shared
     site = site or Site("default")
     shape = {"columns": schema.own_columns(), "aliases": {a: f for a, f in schema.aliases().items()}}
     loaded = pages if "load_error" in pages.columns else pages.withColumn("load_error", F.lit(None).cast("string"))
-    parsed = keep("parsed", pages_with(loaded, config=site.clean, schema=shape, profile=profile_of(site), want=["title", "page_type", "fields", "lists", "filtered"]).drop("html"))
+    wanted = ["title", "page_type", "fields", "lists", "filtered", *(["cleaned", "blocks"] if trace else [])]
+    made = pages_with(loaded, config=site.clean, schema=shape, profile=profile_of(site), want=wanted)
+    if trace:
+        made = made.withColumn("_texts", F.struct(*[F.lower(c).alias(t) for t, c in zip(journey.TEXTS, (F.col("html"), F.col("page.cleaned"), F.col("page.filtered"), block_text(F.col("page.blocks"))), strict=True)]))
+    parsed = keep("parsed", made.drop("html"))
     said = answers.recorded(parsed, recorded)
     answered = said.withColumn("answer", records.typed(records.coerced_json(answers.repaired_json(F.col("answer")), schema), schema))
     merged = keep("merged", records.with_generic_fallbacks(merged_answers(answered.where("load_error is null and page.error is null"), schema)))
@@ -161,7 +191,14 @@ def run_pages(pages: DataFrame, schema: Schema, recorded: DataFrame, old: DataFr
     reason = F.coalesce("error", F.when(F.col("missing") != "", F.concat(F.lit("missing required fields: "), F.col("missing"))))
     status = F.when(F.col("error").isNotNull(), "Failed").when(F.col("missing") != "", "Skipped").otherwise("Success")
     summary = lines.select("page_id", "url", status.alias("status"), "page_type", F.lit("DIRECT").alias("strategy"), "coverage", F.lit(now).alias("timestamp"), F.coalesce(reason, F.lit("")).alias("error"))
-    return Result(kept, good, rejected, summary, failed_urls(summary))
+    return Result(kept, good, rejected, summary, failed_urls(summary), journey.opened(checked, F.col("_seen"), schema) if trace else None)
+
+
+def block_text(blocks: Column) -> Column:
+    """All that blocks say, as one text."""
+    pairs = lambda b: F.transform(b["pairs"], lambda p: F.concat_ws(" ", p["key"], p["value"]))
+    one = lambda b: F.concat_ws(" ", b["text"], b["items"], pairs(b), F.flatten(b["rows"]), b["src"], b["alt"], b["placeholder"], b["value"])
+    return F.array_join(F.transform(blocks, one), "\n")
 
 
 def failed_urls(summary: DataFrame) -> DataFrame:

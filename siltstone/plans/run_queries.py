@@ -96,6 +96,26 @@ def coverage_stats(spark, sf_dir):
     return rows.select("page_id", (F.col("total_fields")).alias("total_fields"), "mapped_fields", "normalized_fields")
 
 
+@query(_RUN_SQL + """, f as (select p_partkey as page_id, unnest([
+  ['franchise_name', 'WRITTEN', 'Deterministic', case when unnamed then 'DOM Blocks' else '' end], ['investment_required', 'WRITTEN', 'Deterministic', ''], ['phone', 'WRITTEN', 'Deterministic', ''], ['website', 'WRITTEN', 'Deterministic', ''],
+  case when p_size % 3 < 2 then ['industry', 'WRITTEN', 'LLM', 'Raw HTML'] else ['industry', 'EMPTY', 'None', 'Raw HTML'] end, case when p_size % 3 = 0 then ['products', 'WRITTEN', 'LLM', 'Raw HTML'] else ['products', 'EMPTY', 'None', 'Raw HTML'] end]) as x from r where load_error = '')
+ select page_id, x[1] as field, x[2] as dataset, x[3] as final_source, x[4] as first_loss from f""")
+def run_journeys(spark, sf_dir):
+    """Each field of each page that a run read, through all stages of the run, and the first that lost it: values that only the model says stand on no page."""
+    pages, answers = listing_pages(spark, sf_dir)
+    found = run.run_pages(pages, LISTING, answers, site=Site("pages"), now="2024-01-01", trace=True).journeys
+    return found.select("page_id", "field", "dataset", "final_source", F.coalesce("first_loss", F.lit("")).alias("first_loss"))
+
+
+@query(_RUN_SQL + """, n as (select count(*) as n, count(*) filter (where unnamed) as u, count(*) filter (where p_size % 3 < 2) as i, count(*) filter (where p_size % 3 = 0) as p from r where load_error = '')
+ select n * 6 as fields, n * 4 as in_raw, n * 4 - u as in_blocks, n * 4 as solved, i + p as answered, n * 4 + i + p as valid, n * 4 + i + p as written from n""")
+def run_journey_counts(spark, sf_dir):
+    """How many fields of a run's pages each stage still had."""
+    pages, answers = listing_pages(spark, sf_dir)
+    found = run.run_pages(pages, LISTING, answers, site=Site("pages"), now="2024-01-01", trace=True).journeys
+    return journey.summary(found).select("fields", "in_raw", "in_blocks", "solved", "answered", "valid", "written")
+
+
 _FACTS = """concat('<html><body><ul class=\"breadcrumb\"><li>Home</li><li>Food</li><li>', p_type, '</li></ul><h1>', p_brand, '</h1><table><tr><td>Franchise Fee</td><td>Rs ', p_size, '</td></tr><tr><td>Staff</td><td>', p_size + 1, '</td></tr></table>',
  '<p><a href=\"mailto:a', p_partkey, '@mail.test?x=1\">Mail</a> <a href=\"tel:+91', 9000000000 + p_partkey, '\">Call</a> <a href=\"https://www.facebook.com/p', p_partkey, '\">F</a></p>',
  '<script type=\"application/ld+json\">{\"@type\": \"Organization\", \"name\": \"Org ', p_partkey, '\", \"logo\": \"https://cdn.test/', p_size, '.png\", \"address\": {\"streetAddress\": \"', p_size, ' Road\", \"addressCountry\": \"IN\"}}</script>',
