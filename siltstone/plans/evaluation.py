@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import evidence
+from ..sources import shared
 
 # The fields that a record may have, those that weigh most, those that no page is asked for; the weights of the score.
 FIELDS = ("page_type", "source_url", "franchise_name", "brand", "industry", "category", "description", "about", "business_model", "investment_required", "franchise_fee", "royalty", "roi", "payback_period", "area_required", "store_size", "products", "services", "training", "marketing_support", "business_support", "contact_person", "phone", "email", "website", "address", "city", "state", "country", "facebook", "instagram", "linkedin", "youtube", "faq", "images", "documents", "additional_information")
@@ -104,12 +105,26 @@ def quality_log(evaluated_records: DataFrame, *, now: str, seconds: str = "secon
     )
 
 
-def benchmark_items(rows: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """Rows of a sheet without empty cells and empty rows, as (id, item): the prefix in upper case and a number, and JSON.
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``number``, their place by ``order``, from 1; rows of one place are numbered in no set order.
 
-    Numbered in one task: a sheet has about a million rows at most.
+    They are sorted by ranges over all tasks and stored so; a row's number is its place in its part and the rows of the parts before, of
+    which there is a count for each part.  No task has all rows.
     """
+    keys = [c.alias(f"_k{k}") for k, c in enumerate(order)]
+    names = [f"_k{k}" for k in range(len(order))]
+    sorted_ = rows.select("*", *keys).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+    ranged = shared.stored("numbered", sorted_.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    shift = counts.select("_part", (before - F.col("_low") + 1).alias("_shift"))
+    return ranged.withColumn("_part", part).join(shift, "_part").withColumn("number", F.col("_at") + F.col("_shift")).drop("_part", "_shift", "_at")
+
+
+def benchmark_items(rows: DataFrame, prefix: str, order: list[str]) -> DataFrame:
+    """Rows of a sheet without empty cells and empty rows, as (id, item): the prefix in upper case and a number, and JSON."""
     full = F.array_compact(F.array(*[F.when(F.trim(F.col(c).cast("string")) != "", F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))) for c in rows.columns]))
     kept = rows.withColumn("_cells", full).where(F.size("_cells") > 0)
-    number = F.row_number().over(W.orderBy(*order))
-    return kept.select(F.format_string(f"{prefix.upper()}%04d", number).alias("id"), F.to_json(F.map_from_entries("_cells")).alias("item"))
+    placed = numbered(kept, [F.col(c) for c in order])
+    return placed.select(F.format_string(f"{prefix.upper()}%04d", "number").alias("id"), F.to_json(F.map_from_entries("_cells")).alias("item"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import blocks, clean, extract, relevant
+from ..operators import blocks, clean, extract, panes, relevant
 from ..operators.tree import parse
 
 _S, _L, _A = T.StringType(), T.LongType(), T.ArrayType
@@ -150,3 +150,37 @@ def chunked(html: Column, limit: int) -> Column:
         return pa.array([blocks.chunks(parse(h.as_py()), limit) for h in pages], type=to_arrow_type(kind))
 
     return cut(html)
+
+
+PANES = _A(_struct(pane_id=_S, html=_S, size=_L))
+
+
+def pane_rows(snapshots: DataFrame) -> DataFrame:
+    """(page_id, pane_id, seq, html, size): each pane with an id of each snapshot (page_id, seq, html) of a page."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(PANES)
+
+    @F.arrow_udf(PANES)
+    def read(pages: pa.Array) -> pa.Array:
+        return pa.array([panes.panes_of(h.as_py()) for h in pages], type=kind)
+
+    found = snapshots.select("page_id", "seq", read("html").alias("found"))
+    return exploded(found, ["page_id", "seq"], "found", "at", "p").select("page_id", "p.pane_id", "seq", "p.html", "p.size")
+
+
+def with_panes(pages: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``pages`` with the tab panes that snapshots (page_id, seq, html) of them show: of each pane the one with the most text, the first of equals.
+
+    Of a page's snapshots only the longest form of each pane is kept, map-side first, before they meet the page; what meets
+    in one row is one page's panes.  Pages without snapshots stay as they are.
+    """
+    longest = pane_rows(snapshots).groupBy("page_id", "pane_id").agg(F.max_by(F.struct("seq", "html"), F.struct("size", -F.col("seq"))).alias("p"))
+    gathered = longest.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("p.seq", "pane_id", "p.html"))).alias("_panes"))
+
+    @F.arrow_udf(_S)
+    def splice(htmls: pa.Array, found: pa.Array) -> pa.Array:
+        return pa.array([panes.spliced(h.as_py(), [(p["pane_id"], p["html"]) for p in f.as_py()]) if f.is_valid else h.as_py() for h, f in zip(htmls, found, strict=True)], pa.string())
+
+    both = pages.join(gathered, "page_id", "left")
+    return both.withColumn("html", splice("html", "_panes")).select(*pages.columns)

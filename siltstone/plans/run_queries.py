@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import quoted
-from . import jobs, journey, run
-from .pages import exploded, facts_of, pages_with
+from ..sources import fetch, shared, workbook
+from ..sources.sinks import WorkbookSink
+from . import evaluation, jobs, journey, run
+from .pages import exploded, facts_of, pages_with, with_panes
 from .registry import query, spread, table
 from .schema import Field, Schema, Site
 
@@ -236,6 +238,49 @@ def journey_summary(spark, sf_dir):
     return journey.summary(_journeys(spark, sf_dir)).select("fields", "in_raw", "in_clean", "solved", "answered", "valid", "lost_in_validator", "written")
 
 
+@query("""with s as (select page_id, url, html, case when page_id % 10 = 3 then 2 when page_id % 10 = 7 then 0 else 1 end as good from pages)
+select page_id, case when good > 0 then 'loaded' else 'OSError: 503 service unavailable' end as status, case good when 0 then 3 else good end as attempts, case when good > 0 then length(html) end as n_chars from s""")
+def fetch_pages(spark, sf_dir):
+    """Pages served from recorded responses, some at the second try only and some never."""
+    p = table(spark, sf_dir, "pages")
+    answer = lambda error, html: F.struct(error.cast("string").alias("error"), html.cast("string").alias("html"))
+    none, down = F.lit(None), F.lit("503 service unavailable")
+    responses = F.when(F.col("page_id") % 10 == 3, F.array(answer(F.lit("navigation timed out"), none), answer(none, F.col("html")))).when(F.col("page_id") % 10 == 7, F.array(answer(down, none))).otherwise(F.array(answer(none, F.col("html"))))
+    served = fetch.fetched(p.select("page_id", "url", responses.alias("responses")), fetch.Recorded, retries=2, retry_seconds=0.0, lanes=4)
+    return served.select("page_id", F.coalesce("load_error", F.lit("loaded")).alias("status"), "attempts", F.length("html").cast("long").alias("n_chars"))
+
+
+_TABS = """concat('<html><body><h1>', p_name, '</h1><div class=\"tab-pane\" id=\"one\">', {one}, '</div><div role=\"tabpanel\" id=\"two\" style=\"display:none\">', {two}, '</div>', {more}, '</body></html>')"""
+
+
+@query("""select p_partkey as page_id, '<html><body><h1>' || p_name || '</h1><div class="tab-pane active show" id="one"><p>' || p_type || '</p></div><div role="tabpanel" id="two" style="display:block" class="active show">Made by ' || p_brand || ' since long ago</div>'
+ || case when p_size % 3 = 0 then '<div class="tabpane x active show" id="three"><b>Size</b> ' || p_size || '</div>' else '' end || '</body></html>' as html from part where p_size % 5 > 0
+ union all select p_partkey, '<html><body><h1>' || p_name || '</h1><div class="tab-pane" id="one"><p>' || p_type || '</p></div><div role="tabpanel" id="two" style="display:none">-</div></body></html>' from part where p_size % 5 = 0""")
+def merge_tabs(spark, sf_dir):
+    """Pages with the panes that snapshots of their tabs show; a fifth has no snapshots."""
+    p = spread(table(spark, sf_dir, "part"))
+    shape = lambda one, two, more="''": F.expr(_TABS.format(one=one, two=two, more=more))
+    own = "concat('<p>', p_type, '</p>')"
+    base = p.select(F.col("p_partkey").alias("page_id"), shape(own, "'-'").alias("html"))
+    third = "case when p_size % 3 = 0 then concat('<div class=\"tabpane x\" id=\"three\"><b>Size</b> ', p_size, '</div>') else '' end"
+    clicked = p.where("p_size % 5 > 0")
+    seen = [shape("'x'", "concat('Made by ', p_brand)"), shape("''", "concat('Made by ', p_brand, ' since long ago')", third), shape(own, "concat('Made by ', p_brand, ' since LONG ago')")]
+    snapshots = clicked.select(F.col("p_partkey").alias("page_id"), F.posexplode(F.array(*seen)).alias("seq", "html"))
+    return with_panes(base, snapshots).select("page_id", "html")
+
+
+@query("""select format('{:s}{:04d}', 'BK', row_number() over (order by s_suppkey)) as id, s_name, s_acctbal from (select s_suppkey, s_name, case when s_suppkey % 4 > 0 then cast(s_acctbal as varchar) end as s_acctbal from supplier)""")
+def workbook_items(spark, sf_dir):
+    """Rows written to a workbook and read back from it in several parts, numbered as they stand there."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 4 > 0, F.col("s_acctbal").cast("string")).alias("s_acctbal")).orderBy("s_suppkey")
+    path = f"{shared.local(shared.fresh(spark, 'workbook'))}.xlsx"
+    WorkbookSink(path).write(rows)
+    workbook.register(spark)
+    read = spark.read.format("workbook").option("rows", 40).load(path)
+    numbered = evaluation.numbered(read, [F.col("s_suppkey").cast("long")])
+    return numbered.select(F.format_string("BK%04d", "number").alias("id"), "s_name", F.nullif("s_acctbal", F.lit("")).alias("s_acctbal"))
+
+
 _EVENT = "case event_type when 'click' then 'run' when 'view' then 'complete' when 'purchase' then 'cancel' else 'rerun' end"
 
 

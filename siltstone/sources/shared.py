@@ -24,6 +24,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def local(path: str) -> str:
+    """A path in the shared folder as plain file access has it."""
+    return path.removeprefix("file://").removeprefix("file:")
+
+
 def stored(name: str, df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder, and read from there."""
     path = fresh(df.sparkSession, name)
