@@ -223,7 +223,7 @@ def fit(pages: DataFrame, *, html_col: str = "html", sample: int = SAMPLE_PAGES,
     html = F.col(quoted(html_col))
     known = pages.where(html.isNotNull() & (F.length(html) <= SAMPLE_CHARS)).select(html.alias("html"), F.shiftrightunsigned(F.xxhash64(html), 1).alias("h"))
     different = known.agg(F.approx_count_distinct("h")).first()[0]
-    below = int(2 * sample / max(different, 2 * sample) * ((1 << 63) - 1))
+    below = ((1 << 63) - 1) * 2 * sample // max(different, 2 * sample)
     drawn = known.where(F.col("h") <= below).distinct()
     rows = [r["html"] for r in sorted(drawn.collect(), key=lambda r: (r["h"], r["html"]))][:sample]
     outlines = [Outline(m) for m in map(marked, rows) if m]
