@@ -31,7 +31,7 @@ from .hashing import pieces
 #: Pages of the sample, and the longest one that is drawn into it, so the driver gets 10 MB at most.
 SAMPLE_PAGES, SAMPLE_CHARS = 200, 50_000
 #: Layouts that are drawn around the sample's sentences.
-LAYOUTS = 700
+LAYOUTS = 1500
 #: Log-odds of a node count no more than this either way.
 CLIP = 5.0
 

@@ -106,15 +106,17 @@ class _Pen:
         return self.tag("header", "header", inside + (self.menu() if self.rng.random() < 0.4 else "") + (f"<p>{self.sentence()}</p>" if self.rng.random() < 0.2 else ""))
 
     def footer(self) -> str:
-        inside = self.rng.choice([f"&copy; {self.label()} &middot; {self.sentence()}", f"<p>&copy; 2020 {self.words(2, 8)}</p>", self.links(2, 8), f"<p>{self.prose(1, 2)}</p>{self.links(2, 6)}", f"Copyright 2019 {self.sentence()} All rights reserved."])
+        inside = self.rng.choice([f"&copy; {self.label()} &middot; {self.sentence()}", f"<p>&copy; 2020 {self.words(2, 8)}</p>", self.links(2, 8), f"<p>{self.prose(1, 2)}</p>{self.links(2, 6)}", self.sentence(2, 8), "All rights reserved", f"<p>{self.words(2, 8)}</p>", f"Copyright 2019 {self.sentence()} All rights reserved."])
         return self.tag("footer", "footer", inside)
 
     def side(self) -> str:
+        if self.rng.random() < 0.25:
+            return self.tag("aside", "side", self.sentence(2, 12))
         inside = f"<h3>{self.label()}</h3>" * (self.rng.random() < 0.6) + self.rng.choice([self.links(3, 10, True), f"<p>{self.prose(1, 2)}</p>", f"<p>{self.sentence()}</p>" + self.links(2, 6)])
         return self.tag("aside", "side", inside)
 
     def advert(self) -> str:
-        return self.tag("div", "advert", self.rng.choice([self.sentence(), f"<p>{self.prose(1, 2)}</p>", f'<a href="/buy">{self.words(3, 10)}</a>', f"<h4>{self.label()}</h4><p>{self.sentence()}</p>"]))
+        return self.tag("div", "advert", self.rng.choice([self.sentence(2, 10), f"<p>{self.prose(1, 2)}</p>", f"<p>{self.sentence(1, 6)}</p>", f'<a href="/buy">{self.words(3, 10)}</a>', f"<h4>{self.label()}</h4><p>{self.sentence()}</p>"]))
 
     def notice(self) -> str:
         return self.tag("div", "notice", self.rng.choice([f"<p>We use cookies. {self.sentence()}</p><button>OK</button>", f"{self.sentence()} <a href='/more'>More</a>", f"<p>{self.prose(1, 2)}</p><button>Accept</button>", f"<p>{self.sentence()}</p>"]))
@@ -147,11 +149,12 @@ class _Pen:
         unclosed = rng.random() < 0.15
         p = lambda text: f"<p>{text}" + "</p>" * (not unclosed)
         size = rng.choice([0, 1, 2, 4, 8, 16, 30])
+        brief = rng.choice([0.08, 0.08, 0.3, 0.9])  # paragraphs of a few words, of hundred
         parts = []
         for k in range(max(1, size)):
             kind = rng.random()
             if kind < 0.74 or k == 0:
-                parts.append(p(self.prose(1, 6)) if rng.random() > 0.12 else p(self.words(1, 5)))
+                parts.append(p(self.prose(1, 6)) if rng.random() > brief else p(self.words(1, 5) + rng.choice(["", ".", "."])))
             elif kind < 0.82:
                 parts.append(f"<h{rng.randint(2, 4)}>{self.words(1, 7)}</h2>")
             elif kind < 0.89:
@@ -163,18 +166,21 @@ class _Pen:
             else:
                 parts.append("<table>" + "".join(f"<tr><td>{self.label()}</td><td>{self.words(1, 4)}</td></tr>" for _ in range(rng.randint(2, 5))) + "</table>")
         # inside the article, but not of it, more than one at times; in a site that names nothing it could not be told
-        for _ in range(rng.choice([0, 0, 1, 1, 2]) if self.named != "none" else 0):
-            not_it = rng.choice([self.advert, self.share, self.related, self.side, self.notice, self.form])()
+        for _ in range(rng.choice([0, 1, 1, 2, 3]) if self.named != "none" else 0):
+            not_it = rng.choice([self.advert, self.advert, self.share, self.related, self.side, self.side, self.notice, self.form])()
             parts.insert(rng.randint(1, len(parts)), f'<div {self.mark}="0">{not_it}</div>' if rng.random() < 0.3 else not_it.replace(">", f' {self.mark}="0">', 1))
         if rng.random() < 0.12 and self.named != "none":
             parts.append(self.comments().replace(">", f' {self.mark}="0">', 1))
-        heading = f"<h1>{self.words(2, 12)}</h1>" if rng.random() < 0.7 else f"<h2>{self.words(1, 12)}</h2>" if rng.random() < 0.7 else ""
+        if size > 1 and rng.random() < 0.25:  # in sections with headings of their own
+            wide, tag = rng.randint(1, 4), rng.choice(["section", "section", "div", 'div class="section"'])
+            parts = [f"<{tag}>" + (f"<h2>{self.words(1, 6)}</h2>" if rng.random() < 0.8 else "") + "".join(parts[k : k + wide]) + f"</{tag.split()[0]}>" for k in range(0, len(parts), wide)]
+        heading = f"<h1>{self.words(1, 12)}</h1>" if rng.random() < 0.7 else f"<h2>{self.words(1, 12)}</h2>" if rng.random() < 0.7 else ""
         if heading and rng.random() < 0.2:
             heading = f"<header>{heading}</header>"
         if rng.random() < 0.15:
             heading += f'<p class="{rng.choice(FAMILIES["meta"])}">{self.words(2, 6)}</p>'
-        if rng.random() < 0.08:  # next to nothing, and still the article
-            parts = [p(self.words(1, 4)) for _ in range(rng.choice([1, 1, 2, 3]))]
+        if rng.random() < 0.1:  # next to nothing, and still the article
+            parts = [p(self.words(1, 4) + rng.choice(["", "."])) for _ in range(rng.choice([1, 1, 2, 3]))]
         elif size == 0:  # bare text in the element itself
             parts = [self.prose(1, 8), *[p(self.words(1, 9)) for _ in range(rng.choice([0, 0, 1, 2]))]]
         elif rng.random() < 0.1:

@@ -198,6 +198,24 @@ PAGES = [
         "<form class=newsletter><label>Email</label><input><button>Go</button></form><script>var a='<p>no</p>'</script>",
         "Head Some real text is here, long enough to be text. More real text follows after the advert, also long. One point Another point",
     ),
+    (
+        "<body><div class='navbar'><a href=1>Home</a></div><div id='main-content'><h1>News today</h1><p>It was a good day for all of us in town.</p><div class='related'><h3>Related</h3><ul><li><a href=2>Other story of note</a></li></ul></div><p>The mayor said so.</p></div>"
+        "<div id='comments'><p>Nice one, mayor. I agree with you.</p></div><div id='footer'>All rights reserved</div></body>",
+        "News today It was a good day for all of us in town. The mayor said so.",
+    ),
+    (
+        "<header>Site name</header><nav><ul><li><a href=1>A</a></li></ul></nav><article><h1>One</h1><p>Alpha beta gamma.</p></article><aside><p>Aside text that is long enough to look like text.</p></aside><div class=notice>We use cookies on this site.</div>"
+        "<form><input name=q><button>Go</button></form><section class=comments><p>Great post!</p><p>I disagree with it strongly, since it is wrong.</p></section><footer><p>&copy; 2024</p></footer>",
+        "One Alpha beta gamma.",
+    ),
+    (
+        "<body><main><h1>Long read</h1><section><h2>Part one</h2><p>It begins here and goes on.</p></section><section><h2>Part two</h2><p>It ends here and is done.</p></section></main><div class='cookie-banner'>Accept cookies?</div></body>",
+        "Long read Part one It begins here and goes on. Part two It ends here and is done.",
+    ),
+    (
+        "<body><div class='header'><p>My blog</p></div><div class='post'><h2>Entry</h2><p>Text of entry &eacute;&#233; here.</p><blockquote>Quoted words are here.</blockquote><pre>code  line\n two</pre></div><div class='sidebar'><p>About me: I write things now and then.</p></div></body>",
+        "Entry Text of entry éé here. Quoted words are here. code line two",
+    ),
     ("plain text only, no markup at all here.", "plain text only, no markup at all here."),
     (None, ""),
     ("", ""),
