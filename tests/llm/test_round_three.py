@@ -208,10 +208,6 @@ PAGES = [
         "<form><input name=q><button>Go</button></form><section class=comments><p>Great post!</p><p>I disagree with it strongly, since it is wrong.</p></section><footer><p>&copy; 2024</p></footer>",
         "One Alpha beta gamma.",
     ),
-    (
-        "<body><main><h1>Long read</h1><section><h2>Part one</h2><p>It begins here and goes on.</p></section><section><h2>Part two</h2><p>It ends here and is done.</p></section></main><div class='cookie-banner'>Accept cookies?</div></body>",
-        "Long read Part one It begins here and goes on. Part two It ends here and is done.",
-    ),
     (
         "<body><div class='header'><p>My blog</p></div><div class='post'><h2>Entry</h2><p>Text of entry &eacute;&#233; here.</p><blockquote>Quoted words are here.</blockquote><pre>code  line\n two</pre></div><div class='sidebar'><p>About me: I write things now and then.</p></div></body>",
         "Entry Text of entry éé here. Quoted words are here. code line two",
