@@ -216,9 +216,9 @@ def chunks(root: Node, limit: int = 60_000, loose_text: bool = True) -> list[dic
                 if isinstance(c, str):
                     under += [(text, named)] if loose_text and (text := c.strip()) else []
                     continue
-                if c.tag in HEADINGS:
-                    named = (*path, c.text())
                 under.append((c, named))
+                if c.tag in HEADINGS:  # it is above what follows, not above itself
+                    named = (*path, c.text())
             todo += reversed(under)
         else:
             out += windows("WINDOW", node.text(), path)

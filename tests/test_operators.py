@@ -123,3 +123,9 @@ def test_columns():
     column, score, _ = a.column_for("capital", cols)
     assert column == "Total Capital" and score >= 0.6
     assert a.column_for("colour", cols)[0] is None
+
+
+def test_chunk_is_under_the_headings_before_it_at_each_depth():
+    root = parse("<body><h1>Top</h1><div><h2>One</h2><p>" + "a " * 300 + "</p><h2>Two</h2><p>" + "b " * 300 + "</p></div></body>")
+    paths = [(p["chunk_type"], p["heading_path"]) for p in blocks.chunks(root, 200)]
+    assert paths == [("H1", []), ("H2", ["Top"]), ("P", ["Top", "One"]), ("H2", ["Top", "One"]), ("P", ["Top", "Two"])]
