@@ -137,7 +137,7 @@ def latest_success(spark, sf_dir):
 
 @query("""with e as (select l_orderkey, l_linenumber - 1 as idx, l_returnflag || case when l_linestatus = 'O' then ' company' else ' contact' end as entity_type, l_linenumber % 2 + 1 as n_records, cast(l_quantity as bigint) as n_attributes from lineitem),
 s as (select *, (case when contains(lower(entity_type), 'company') then 10.0 else 0.0 end) + (case when n_records = 1 then 5.0 else 0.0 end) + least(n_attributes, 10) * 0.2 + (case when idx = 0 then 1.0 else 0.0 end) as score from e)
-select l_orderkey, round(cast(max(score) as double), 4) as score from s group by l_orderkey""")
+select l_orderkey, entity_type, round(cast(score as double), 4) as score from (select *, row_number() over (partition by l_orderkey order by score desc, idx, entity_type desc) as k from s) where k = 1""")
 def primary_entity(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("idx"), F.concat("l_returnflag", F.when(F.col("l_linestatus") == "O", " company").otherwise(" contact")).alias("entity_type"), (F.col("l_linenumber") % 2 + 1).alias("n_records"), F.col("l_quantity").cast("bigint").alias("n_attributes"))
-    return mapping.primary_entity(e, keys=["l_orderkey"], words=["company", "brand"]).select("l_orderkey", F.round("score", 4).alias("score"))
+    return mapping.primary_entity(e, keys=["l_orderkey"], words=["company", "brand"]).select("l_orderkey", "entity_type", F.round("score", 4).alias("score"))

@@ -49,6 +49,15 @@ def strategy(field: str) -> tuple[str, str]:
     return _STRATEGY.get(field, ("llm", "llm_only"))
 
 
+def owner(field: Column) -> Column:
+    """Who decides a field, the page, the model or both, for names in a column."""
+    out = F.lit(strategy("")[0])
+    for who in sorted({w for w, _ in OWNERS}):
+        named = [f for (w, _), names in OWNERS.items() if w == who for f in names]
+        out = F.when(field.isin(*named), who).otherwise(out)
+    return out
+
+
 def allowed(field: str) -> bool:
     """Whether pages alone may set the field."""
     return strategy(field)[0] in ("deterministic", "hybrid")

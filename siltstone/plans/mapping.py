@@ -127,9 +127,9 @@ def unmatched(pairs: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def primary_entity(entities: DataFrame, *, keys: list[str], words: Iterable[str]) -> DataFrame:
-    """Of (keys, idx, entity_type, n_records, n_attributes) the most likely subject of the page, the first of equals."""
+    """Of (keys, idx, entity_type, n_records, n_attributes) the most likely subject of the page, the first of equals (of one place, by name)."""
     named = F.lit(False)
     for w in words:
         named = named | F.lower("entity_type").contains(w)
     score = F.when(named, 10.0).otherwise(0.0) + F.when(F.col("n_records") == 1, 5.0).otherwise(0.0) + F.least("n_attributes", F.lit(10)) * 0.2 + F.when(F.col("idx") == 0, 1.0).otherwise(0.0)
-    return entities.withColumn("score", score).groupBy(*keys).agg(F.max_by("entity_type", F.struct("score", -F.col("idx"))).alias("entity_type"), F.max("score").alias("score"))
+    return entities.withColumn("score", score).groupBy(*keys).agg(F.max_by("entity_type", F.struct("score", -F.col("idx"), "entity_type")).alias("entity_type"), F.max("score").alias("score"))

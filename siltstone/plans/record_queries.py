@@ -6,11 +6,11 @@ The tables have no listings, so that pages and records are put together from col
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import evidence, text, validate
 from . import answers, dataset, evaluation, fields, mapping, pieces, prompts, records
 from .registry import query, spread, table
+from .run_queries import stated_facts
 from .scalar_queries import AREA, MONEY
 from .schema import Field, Schema
 
@@ -342,8 +342,11 @@ def odd_values(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_compact(F.array(*told)), "; ").alias("odd"))
 
 
-@query("""select 'deterministic' as owner, 32 as fields union all select 'hybrid', 12 union all select 'llm', 22""")
+_OWNED = "[" + ", ".join(f"['{f}', 'hybrid']" for f in ("franchise_name", "category", "segment", "brand")) + ", " + ", ".join(f"['{f}', 'deterministic']" for f in ("logo", "logo_url", "email", "phone", "facebook", "franchise_fee", "number_of_employees")) + "]"
+
+
+@query(f"""with f as (select p_partkey, unnest({_OWNED}) as x from part) select x[2] as owner, count(distinct x[1]) as fields, count(*) as stated from f group by 1""")
 def owner_counts(spark, sf_dir):
-    """How many known fields each owner has."""
-    rows = [(f, s[0]) for s, names in fields.OWNERS.items() for f in names]
-    return spark.createDataFrame(rows, T.StructType([T.StructField("field", T.StringType()), T.StructField("owner", T.StringType())])).groupBy("owner").agg(F.count("*").cast("int").alias("fields"))
+    """How many fields that pages state, and how many values, fall to each owner."""
+    said = stated_facts(spark, sf_dir).withColumn("owner", fields.owner(F.col("field")))
+    return said.groupBy("owner").agg(F.countDistinct("field").alias("fields"), F.count("*").alias("stated"))

@@ -91,11 +91,12 @@ def recorded_llm_merge(spark, sf_dir):
     return kept["merged"].select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c not in ("page_id",) else F.col(c) for c in names])
 
 
-@query(_RUN_SQL + """ select p_partkey as page_id, 6 + 2 as total_fields, 4 + case when p_size % 3 < 2 then 1 else 0 end + case when p_size % 3 = 0 then 1 else 0 end as mapped_fields, 3 as normalized_fields from r where load_error = ''""")
+@query(_RUN_SQL + """ select p_partkey as page_id, 6 + 2 as total_fields, 4 + case when p_size % 3 < 2 then 1 else 0 end + case when p_size % 3 = 0 then 1 else 0 end as mapped_fields, 3 as normalized_fields,
+ 4 as deterministic_fields, case p_size % 3 when 0 then 2 when 1 then 1 else 0 end as llm_fields, 3 - case p_size % 3 when 0 then 2 when 1 then 1 else 0 end as missing_fields, 1 as unmapped_fields from r where load_error = ''""")
 def coverage_stats(spark, sf_dir):
     """How many fields of a record are mapped, normalised and missing."""
     rows = listing_run(spark, sf_dir).rows
-    return rows.select("page_id", (F.col("total_fields")).alias("total_fields"), "mapped_fields", "normalized_fields")
+    return rows.select("page_id", "total_fields", "mapped_fields", "normalized_fields", "deterministic_fields", "llm_fields", "missing_fields", "unmapped_fields")
 
 
 @query(_RUN_SQL + """, f as (select p_partkey as page_id, unnest([

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import contact, money, text, validate
-from .registry import query, table
+from .registry import SQL, query, table
 
 # a text of each style for every part: (Spark SQL and DuckDB agree on these expressions)
 MONEY = """case p_size % 8 when 0 then concat('Rs. ', p_size, ' Lakhs - ', p_size + 25, ' Lakhs') when 1 then concat('upto ', p_size, ' Lakhs')
@@ -154,7 +154,19 @@ def validate_fields(spark, sf_dir):
     return t.select("p_partkey", validate.email(c("email")).alias("email"), validate.year(c("established_year")).alias("year"), validate.numbers(c("roi")).alias("roi"), validate.duration(c("agreement_duration")).alias("duration"), validate.name(c("franchise_name")).alias("name"))
 
 
-@query()
+_CHANGED = "case when {0} <> {1} then '\"normalized_from_{2}\":' || to_json({0}) end"
+_RAW = {"established_year": YEAR, "agreement_duration": TERM, "phone": PHONE, "email": MAIL, "roi": ROI, "investment_required": MONEY, "area_required": AREA}
+_LOG = ", ".join(_CHANGED.format(f"({raw})", f"v.{f}", f) for f, raw in _RAW.items())
+
+
+@query(f"""with f as ({SQL["validate_fields"]}), ph as ({SQL["validate_phone"]}), inv as ({SQL["normalize_investment"]}), ar as ({SQL["normalize_area"]}), hr as ({SQL["normalize_hours"]}),
+v as (select part.*, name as franchise_name, year as established_year, duration as agreement_duration, phone, email, roi, case when p_size % 8 <> 6 then investment end as investment_required, case when p_size % 4 <> 3 then area end as area_required, hours as expected_hours,
+  case when starts_with({SITE}, 'http') then '' else 'https://' end || {SITE} as website from part join f using (p_partkey) join ph using (p_partkey) join inv using (p_partkey) join ar using (p_partkey) join hr using (p_partkey))
+select p_partkey, franchise_name, established_year, agreement_duration, phone, email, roi, investment_required, area_required, expected_hours, website,
+ cast(case p_size % 8 when 0 then p_size * 100000 when 2 then p_size * 10000000 + 5000000 when 3 then p_size * 100000 when 4 then p_size * 1000 + 500 when 5 then p_size * 1000 when 7 then p_size * 1000 end as double) as investment_min,
+ cast(case p_size % 8 when 0 then (p_size + 25) * 100000 when 1 then p_size * 100000 when 2 then (p_size + 1) * 10000000 when 7 then (p_size + 5) * 1000 end as double) as investment_max,
+ cast(case p_size % 4 when 0 then p_size * 10 when 1 then p_size when 2 then 1 end as double) as area_min, cast(case p_size % 4 when 0 then p_size * 20 when 2 then p_size + 100 end as double) as area_max,
+ '{{' || array_to_string(list_filter([{_LOG}], lambda x: x is not null), ',') || '}}' as normalized_from from v""")
 def validate_record(spark, sf_dir):
     """All checks in one projection, with the log of what changed and the numeric ranges."""
     done = validate.ranges(validate.validated(parts(spark, sf_dir, **RECORD)))
