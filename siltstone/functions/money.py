@@ -22,20 +22,29 @@ def _numbers(text: Column, pattern: str) -> Column:
 
 def _bounds(numbers: Column, most: Column) -> Column:
     """(low, high): of two numbers and more the first two, of one the bound that ``most`` says."""
-    n = F.size(numbers)
-    return F.struct(
-        F.when((n >= 2) | ((n == 1) & ~most), F.get(numbers, F.lit(0))).alias("low"),
-        F.when(n >= 2, F.get(numbers, F.lit(1))).when((n == 1) & most, F.get(numbers, F.lit(0))).alias("high"),
-    )
+
+    def ends(r: Column) -> Column:
+        of, n, most_ = r["of"], F.size(r["of"]), r["most"]
+        return F.struct(
+            F.when((n >= 2) | ((n == 1) & ~most_), F.get(of, F.lit(0))).alias("low"),
+            F.when(n >= 2, F.get(of, F.lit(1))).when((n == 1) & most_, F.get(of, F.lit(0))).alias("high"),
+        )
+
+    return _bound(F.struct(numbers.alias("of"), most.alias("most")), ends)
 
 
 def investment_range(text: Column) -> Column:
     """struct(low, high) in units; one factor holds for both ends, fractions of a unit are cut off."""
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ",", "")
-    factor = F.lit(1.0)
-    for words, power in reversed(FACTORS):
-        factor = F.when(any_of(low, words), power).otherwise(factor)
-    return _bounds(F.transform(_numbers(low, NUMBER), lambda n: (n.cast("double") * factor).cast("bigint")), any_of(low, AT_MOST))
+
+    def ends(low: Column) -> Column:
+        factor = F.lit(1.0)
+        for words, power in reversed(FACTORS):
+            factor = F.when(any_of(low, words), power).otherwise(factor)
+        found = F.struct(_numbers(low, NUMBER).alias("numbers"), factor.alias("factor"))
+        scaled = _bound(found, lambda r: F.transform(r["numbers"], lambda n: (n.cast("double") * r["factor"]).cast("bigint")))
+        return _bounds(scaled, any_of(low, AT_MOST))
+
+    return _bound(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit(","), F.lit("")), ends)
 
 
 def area_range(text: Column) -> Column:
@@ -63,22 +72,26 @@ def amount_text(amount: Column, symbol: Column) -> Column:
 
 def investment_text(text: Column) -> Column:
     """The range in canonical notation; a text without digits keeps its words, with canonical units."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    symbol = F.when(any_of(low, ("$", "usd")), F.lit("$")).otherwise(F.lit("₹"))
-    words = strip(F.coalesce(text, F.lit("")))
-    for pattern, to in [
-        (r"(?iU)\b(rs\.?|inr)\s*", "₹"),
-        (r"(?U)₹\s*", "₹"),
-        (r"(?U)\s*[\-–—]\s*", " - "),
-    ]:
-        words = F.regexp_replace(words, pattern, to)
+
+    def read(t: Column) -> Column:
+        low = F.lower(t)
+        symbol = F.when(any_of(low, ("$", "usd")), F.lit("$")).otherwise(F.lit("₹"))
+        words = strip(t)
+        for pattern, to in [
+            (r"(?iU)\b(rs\.?|inr)\s*", "₹"),
+            (r"(?U)₹\s*", "₹"),
+            (r"(?U)\s*[\-–—]\s*", " - "),
+        ]:
+            words = F.regexp_replace(words, pattern, to)
+        return F.struct(investment_range(t).alias("ends"), symbol.alias("symbol"), any_of(low, AT_LEAST).alias("least"), words.alias("words"))
 
     def said(r: Column) -> Column:
-        ends = F.transform(F.filter(F.array(r["ends"]["low"], r["ends"]["high"]), lambda n: n.isNotNull()), lambda n: amount_text(n, r["symbol"]))
-        opening = F.when(F.size(ends) == 2, F.lit("")).when(r["ends"]["low"].isNull(), F.lit("Upto ")).when(r["least"], F.lit("Starting from ")).otherwise(F.lit(""))
-        return F.when(F.size(ends) > 0, F.concat(opening, F.array_join(ends, " - "))).otherwise(r["words"])
+        some = F.filter(F.array(r["ends"]["low"], r["ends"]["high"]), lambda n: n.isNotNull())
+        ends = F.transform(some, lambda n: amount_text(n, r["symbol"]))
+        opening = F.when(F.size(some) == 2, F.lit("")).when(r["ends"]["low"].isNull(), F.lit("Upto ")).when(r["least"], F.lit("Starting from ")).otherwise(F.lit(""))
+        return F.when(F.size(some) > 0, F.concat(opening, F.array_join(ends, " - "))).otherwise(r["words"])
 
-    return _bound(F.struct(investment_range(text).alias("ends"), symbol.alias("symbol"), any_of(low, AT_LEAST).alias("least"), words.alias("words")), said)
+    return _bound(_bound(F.coalesce(text, F.lit("")), read), said)
 
 
 def area_text(text: Column) -> Column:

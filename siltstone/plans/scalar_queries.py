@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import contact, money, text, validate
-from .registry import SQL, query, table
+from .registry import SQL, query, spread, table
 
 # a text of each style for every part: (Spark SQL and DuckDB agree on these expressions)
 MONEY = """case p_size % 8 when 0 then concat('Rs. ', p_size, ' Lakhs - ', p_size + 25, ' Lakhs') when 1 then concat('upto ', p_size, ' Lakhs')
@@ -169,7 +169,7 @@ select p_partkey, franchise_name, established_year, agreement_duration, phone, e
  '{{' || array_to_string(list_filter([{_LOG}], lambda x: x is not null), ',') || '}}' as normalized_from from v""")
 def validate_record(spark, sf_dir):
     """All checks in one projection, with the log of what changed and the numeric ranges."""
-    done = validate.ranges(validate.validated(parts(spark, sf_dir, **RECORD)))
+    done = validate.ranges(validate.validated(spread(parts(spark, sf_dir, **RECORD))))
     return done.withColumn("normalized_from", F.to_json("normalized_from"))
 
 
