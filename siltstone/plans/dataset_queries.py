@@ -70,8 +70,8 @@ def map_record(spark, sf_dir):
 
 @query("""select event_id, 'Count' as "column", v as value from (select event_id, json_extract_string(props, '$.k') as v from events) where v is not null and v <> ''""")
 def field_mapper_first_wins(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.posexplode(F.expr("from_json(props, 'map<string,string>')")).alias("seq", "key", "value"))
-    return mapping.first_wins(e, {"K": "Count"}, keys=["event_id"])
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    return mapping.first_wins_in(e, F.expr("from_json(props, 'map<string,string>')"), {"K": "Count"}, keys=["event_id"])
 
 
 @query("""with old as (select c_custkey as seq, c_name, c_mktsegment from customer where c_custkey % 3 <> 0), new as (select c_custkey as seq, upper(c_name) || ' ' as c_name, case when c_custkey % 2 = 0 then '' else c_mktsegment || '2' end as c_mktsegment from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0)
