@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evidence, text, validate
 from . import answers, dataset, evaluation, fields, mapping, pieces, prompts, records
-from .registry import query, spread, table
+from .registry import ROWS_A_TASK, query, spread, table
 from .run_queries import stated_facts
 from .scalar_queries import AREA, MONEY
 from .schema import Field, Schema
@@ -60,7 +60,7 @@ def _told_sql(f: str) -> str:
 
 
 def _listings(spark, sf_dir):
-    t = table(spark, sf_dir, "part")
+    t = spread(table(spark, sf_dir, "part"), rows=ROWS_A_TASK)
     kept = t.select("p_partkey", F.expr(PAGE).alias("text"), *[F.expr(v).alias(f) for f, v in VALUES.items()])
     on = evidence.page(F.col("text"), F.array(F.lit("https://acme.com/About/"), F.lit("#top"), F.lit("mailto:a@b.c")), F.array(F.lit("/logo.png")))
     return kept.select("p_partkey", on.alias("evidence"), *VALUES)
@@ -165,7 +165,7 @@ RAW = """case p_size % 5 when 0 then concat('```json\n{"k": ', p_size, ', }\n```
 @query("""select p_partkey, case p_size % 5 when 0 then '{"k": ' || p_size || '}' when 1 then '{"a": ["x", "y"]}' when 2 then '{"a": {"b": 1}}' when 3 then '{"a": 1, "b": [1, 2]}' end as answer from part""")
 def repair_json(spark, sf_dir):
     """Answers of a model as JSON that parses."""
-    t = spread(table(spark, sf_dir, "part")).select("p_partkey", F.expr(RAW.replace("\n{", "\\n{").replace("\n`", "\\n`")).alias("raw"))
+    t = spread(table(spark, sf_dir, "part"), rows=ROWS_A_TASK).select("p_partkey", F.expr(RAW.replace("\n{", "\\n{").replace("\n`", "\\n`")).alias("raw"))
     return t.select("p_partkey", answers.repaired_json(F.col("raw")).alias("answer"))
 
 
@@ -178,7 +178,7 @@ ASKED = Schema("asked", (Field("name"), Field("outlets", "integer"), Field("fee"
  case p_size % 4 when 0 then true when 2 then false end as open, case p_size % 4 when 0 then 'a|b' when 1 then 'a' end as items, p_size % 4 = 3 as broken from part""")
 def coerce_to_schema(spark, sf_dir):
     """Answers in the types of a schema; what can't be is null."""
-    t = spread(table(spark, sf_dir, "part")).select("p_partkey", F.expr(ANSWER).alias("raw"))
+    t = spread(table(spark, sf_dir, "part"), rows=ROWS_A_TASK).select("p_partkey", F.expr(ANSWER).alias("raw"))
     done = t.withColumn("a", records.typed(records.coerced_json(F.col("raw"), ASKED), ASKED))
     return done.select("p_partkey", "a.name", "a.outlets", "a.fee", "a.open", F.array_join("a.items", "|").alias("items"), F.col("a").isNull().alias("broken"))
 
@@ -305,7 +305,7 @@ def build_prompt(spark, sf_dir):
     """What a model is asked: only what the page itself has not given."""
     empty = {f.name: F.lit(None).cast(f.dataType) for f in prompts.BLOCKS.elementType.fields}
     blocks = F.array(F.struct(*[(F.lit("paragraph") if n == "type" else F.col("p_name") if n == "text" else v).alias(n) for n, v in empty.items()]))
-    p = spread(table(spark, sf_dir, "part")).select("p_partkey", "p_brand", "p_name")
+    p = spread(table(spark, sf_dir, "part"), rows=ROWS_A_TASK).select("p_partkey", "p_brand", "p_name")
     return p.select("p_partkey", prompts.prompts(F.concat(F.lit("http://x/"), "p_partkey"), F.col("p_brand"), F.array(F.lit("phone")), blocks, _FIELDS_ASKED).alias("prompt"))
 
 
@@ -313,7 +313,7 @@ def build_prompt(spark, sf_dir):
  case when p_size % 2 = 0 then 'https://a.b/?k=1|5' else '' end as bag, case when p_size % 2 = 0 then '• Q: q? A: ' || p_size || chr(10) || '• k: v' else '5' end as cell from part""")
 def record_fallbacks(spark, sf_dir):
     """Titles of last resort, overflow without what is empty, values as cells show them."""
-    t = spread(table(spark, sf_dir, "part")).select("p_partkey", "p_size", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).when(F.col("p_size") % 3 == 1, F.col("p_name")).otherwise("").alias("page_title"), F.concat(F.lit("http://x/"), "p_partkey").alias("source_url"))
+    t = spread(table(spark, sf_dir, "part"), rows=ROWS_A_TASK).select("p_partkey", "p_size", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).when(F.col("p_size") % 3 == 1, F.col("p_name")).otherwise("").alias("page_title"), F.concat(F.lit("http://x/"), "p_partkey").alias("source_url"))
     bag = F.when(F.col("p_size") % 2 == 0, F.lit('{"a": " https://a.b/?utm_x=1&k=1 ", "b": {"c": "", "d": []}, "n": 5, "Known Key": "x", "": 1}')).otherwise(F.lit('{"a": null, "known_key": 7}'))
     cell = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('[{"question": "q?", "answer": "'), "p_size", F.lit('"}, {"key": "k", "value": "v"}]'))).otherwise(F.lit("5.0"))
     done = records.with_generic_fallbacks(t).select("p_partkey", "page_title", F.from_json(records.clean_json(bag, frozenset(["known key"])), "map<string,string>").alias("m"), records.json_text(cell).alias("cell"))

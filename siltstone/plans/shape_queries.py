@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from .pages import chunked, exploded, pages_with
 from .prompts import BLOCKS, chosen_blocks
-from .registry import query, spread, table
+from .registry import ROWS_A_TASK, query, spread, table
 
 
 def _part_pages(spark, sf_dir, html: str):
-    p = spread(table(spark, sf_dir, "part"))
+    p = spread(table(spark, sf_dir, "part"), rows=ROWS_A_TASK)
     return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("http://made.test/"), "p_partkey").alias("url"), F.expr(html).alias("html"))
 
 
