@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,11 +66,15 @@ def allowed(field: str) -> bool:
 
 def field_for(label: str, aliases: dict[str, str] | None = None) -> str | None:
     """The field that a label means: an alias of the schema, a known label, then either of which one contains the other."""
-    key = label.lower().strip().rstrip(":")
+    return _meant(label.lower().strip().rstrip(":"), tuple((aliases or {}).items()))
+
+
+@lru_cache(maxsize=4096)
+def _meant(key: str, aliases: tuple[tuple[str, str], ...]) -> str | None:
     barred = NOT_ASKED if key.startswith(QUESTIONS) else ()
     fits = lambda f: f not in barred and allowed(f)
     known = [(a, f) for f, words in CONCEPTS.items() for a in words]
-    for pairs, near in (((aliases or {}).items(), lambda a: a == key), (known, lambda a: a == key), ((aliases or {}).items(), lambda a: a in key or key in a), (known, lambda a: len(a) > 3 and (a in key or key in a))):
+    for pairs, near in ((aliases, lambda a: a == key), (known, lambda a: a == key), (aliases, lambda a: a in key or key in a), (known, lambda a: len(a) > 3 and (a in key or key in a))):
         for a, f in pairs:
             if near(a) and fits(f):
                 return f
